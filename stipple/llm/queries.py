@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipple.llm import bpe, sharding
+from stipple.llm import ann, bpe, html, sharding, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_ann": ann.query,
         "op4_sharding": sharding.query,
+        "op7_transcripts": transcripts.query,
         "op9_bpe": bpe.query,
+        "op10_html": html.query,
     }
 
 
