@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipple.llm import ann, bpe, html, sharding, transcripts
+from stipple.llm import ann, bpe, ctw, html, sharding, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op2_ann": ann.query,
         "op4_sharding": sharding.query,
         "op7_transcripts": transcripts.query,
+        "op8_ctw": ctw.query,
         "op9_bpe": bpe.query,
         "op10_html": html.query,
     }
