@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipple.llm import ann, bpe, ctw, html, sharding, transcripts
+from stipple.llm import ann, bpe, ctw, html, language, sharding, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_ann": ann.query,
+        "op3_language": language.query,
         "op4_sharding": sharding.query,
         "op7_transcripts": transcripts.query,
         "op8_ctw": ctw.query,
