@@ -20,7 +20,7 @@ DEPTH = 3
 #: Entries of the byte model that a worker holds at once (12 bytes each); a larger model is applied in slices.
 SLICE = 8_000_000
 #: Words, the most frequent ones, whose counts each worker holds (16 bytes each); others are joined.
-HEAD = 1 << 20
+HEAD = 1 << 18
 _WORDS, _RUNS = 0, 1
 
 
@@ -231,10 +231,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         total, distinct = total + sums[_WORDS]["n"], distinct + sums[_WORDS]["v"]
     runs_seen = sums[_RUNS]["v"] if _RUNS in sums else 0
 
-    head = vocabulary.orderBy(F.desc("n"), "key").limit(HEAD).toPandas().sort_values("key")
-    head_keys = spark.sparkContext.broadcast((head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
-    least = int(head["n"].min()) if len(head) else 0
-    whole = len(head) < HEAD  # then no word is left to join
+    # The least count of a frequent word: the driver sees how many words have each of the greatest counts, HEAD at most.
+    least, room = 0, HEAD
+    for r in vocabulary.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(HEAD).toLocalIterator():
+        room -= r["words"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    head = vocabulary.filter(F.col("n") >= least).toArrow()
+    order = np.argsort(keys := head["key"].to_numpy())
+    head_keys = spark.sparkContext.broadcast((keys[order], head["n"].to_numpy()[order]))
+    whole = least == 0  # then no word is left to join
     unit, end_known, end_value = math.log10(total + distinct + 1), int(ends > 0), math.log10(ends + 1)
 
     model = cut(byte_model(gathered.filter(F.col("kind") == _RUNS).select("key", "n"))) if runs_seen else None
@@ -247,8 +254,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if model is None:
             values = spark.sparkContext.broadcast(None)
         else:
-            own = model.filter(F.pmod("key", F.lit(slices)) == part).toPandas()
-            values = spark.sparkContext.broadcast((own["key"].to_numpy(np.int64), own["logp"].to_numpy(np.float64)))
+            own = model.filter(F.pmod("key", F.lit(slices)) == part).toArrow()
+            values = spark.sparkContext.broadcast((own["key"].to_numpy(), own["logp"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lookup = Lookup(*values.value) if values.value else None
@@ -291,7 +298,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         this = F.array(F.struct(F.xxhash64("rid").alias("key"), F.lit(0).cast("long").alias("n"), own.alias("doc")))
         word = F.transform(F.arrays_zip("tail", "times"), lambda x: F.struct(x["tail"].alias("key"), x["times"].alias("n"), F.lit(None).cast(f"struct<{_doc_type(src)}>").alias("doc")))
         flat = done.select("rid", F.inline(F.concat(this, word)))
-        rare = vocabulary if least <= 1 else vocabulary.filter(F.col("n") <= least)
+        rare = vocabulary.filter(F.col("n") < least)
         counted = flat.join(rare.select("key", F.col("n").alias("c")), "key", "left")
         sure = F.col("c").isNotNull()
         summed = counted.groupBy("rid").agg(
