@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,17 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their column holds about `size` bytes."""
+    own, held = [], 0
+    for b in batches:
+        own.append(b)
+        held += b.column(column).nbytes
+        if held >= size:
+            yield pa.concat_batches(own)
+            own, held = [], 0
+    if own:
+        yield pa.concat_batches(own)
 
 
 def finish(h: np.ndarray) -> np.ndarray:

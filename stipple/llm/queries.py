@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipple.llm import ann, bpe, ctw, html, language, sharding, transcripts
+from stipple.llm import ann, bpe, ctw, decontam, html, language, sharding, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontam": decontam.query,
         "op2_ann": ann.query,
         "op3_language": language.query,
         "op4_sharding": sharding.query,
