@@ -19,7 +19,7 @@ REPEATS, SAMPLED = 40, 4
 #: Items that one pass over the documents looks for; more take more passes.
 BLOCK_ITEMS = 10_000
 #: Bytes of text that are looked through at once, if a single Arrow batch doesn't hold more.
-FIND_BYTES = 8 << 20
+FIND_BYTES = 16 << 20
 _TABLE = 20  # bits of the table of word pairs
 #: Punctuation that normalising takes away, and spaces beyond ASCII that part words.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -251,22 +251,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     kind = ask.schema["item_id"].dataType.simpleString()
     blocks = max(1, -(-ask.count() // BLOCK_ITEMS))
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ddl = f"kept {src.schema['kept'].dataType.simpleString()}, text string, leaks array<struct<item_id:{kind},edits:int,start:int,n_words:int>>"
-    out = src.withColumn("leaks", F.from_json(F.lit("[]"), f"array<struct<item_id:{kind},edits:int,start:int,n_words:int>>"))
+    leaks = f"array<struct<item_id:{kind},edits:int,start:int,n_words:int>>"
+    out = src.withColumn("leaks", F.lit(None).cast(leaks))
     for block in range(blocks):
         rows = ask.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows]))
+        names = ["kept", "text", "leaks"] if block < blocks - 1 else ["kept", "leaks"]  # the last pass needs no text behind it
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for b in gathered(batches, "text", FIND_BYTES):
-                before = b.column("leaks").to_pylist()
                 found = own.find(b.column("text").to_pylist())
+                before = b.column("leaks").to_pylist() if b.column("leaks").null_count < len(b) else [None] * len(b)
                 leaks = [(x or []) + [dict(zip(("item_id", "edits", "start", "n_words"), y, strict=True)) for y in f] for x, f in zip(before, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("kept"), b.column("text"), pa.array(leaks, b.schema.field("leaks").type)], names=["kept", "text", "leaks"])
+                of = {"kept": b.column("kept"), "text": b.column("text"), "leaks": pa.array(leaks, b.schema.field("leaks").type)}
+                yield pa.RecordBatch.from_arrays([of[n] for n in names], names=names)
 
-        out = out.mapInArrow(run, ddl)
-    return out.drop("text")
+        out = out.mapInArrow(run, ", ".join({"kept": f"kept {src.schema['kept'].dataType.simpleString()}", "text": "text string", "leaks": f"leaks {leaks}"}[n] for n in names))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
