@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipple.llm import ann, bpe, ctw, decontam, html, language, sharding, substrings, transcripts
+from stipple.llm import ann, bpe, ctw, decontam, html, jaccard, language, sharding, substrings, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_ann": ann.query,
         "op3_language": language.query,
         "op4_sharding": sharding.query,
+        "op5_jaccard": jaccard.query,
         "op6_substrings": substrings.query,
         "op7_transcripts": transcripts.query,
         "op8_ctw": ctw.query,
