@@ -15,7 +15,7 @@ from stipple.llm.common import finish, gathered, prepare, table
 #: Edits of words that a passage may have, as a share of the item's words (rounded down).
 EDITS = 0.2
 #: Repetitions of the embedding, and sampled places in each: chosen for a recall of 0.99 at the most edits.
-REPEATS, SAMPLED = 40, 4
+REPEATS, SAMPLED = 16, 2
 #: Items that one pass over the documents looks for; more take more passes.
 BLOCK_ITEMS = 10_000
 #: Bytes of text that are looked through at once, if a single Arrow batch doesn't hold more.
