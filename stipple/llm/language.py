@@ -43,10 +43,10 @@ class TextModel:
         self.logs = np.log((counts + 1.0) / (counts + 1.0).sum(0)).astype(np.float32)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Log likelihoods, scaled to TRIGRAMS; zeros for a text without letters or of fewer than three bytes."""
+        """Log likelihoods, scaled to TRIGRAMS, of a text between spaces; zeros for one without letters."""
         out, n = np.zeros(len(self.langs)), 0
         if letters(text):
-            data = text.lower().encode("utf-8", "surrogatepass")
+            data = f" {text.lower()} ".encode("utf-8", "surrogatepass")
             for at in range(0, len(data) - 2, _CHUNK):
                 t = trigrams(data[at : at + _CHUNK + 2])
                 out += self.logs[t].sum(0, dtype=np.float64)
@@ -59,11 +59,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, lang in zip(b.column("text").to_pylist(), b.column("declared").to_pylist(), strict=True):
             if letters(text):
-                data = text.lower().encode("utf-8", "surrogatepass")
-                if len(data) > 2:
-                    of.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                    for at in range(0, len(data) - 2, _CHUNK):
-                        of[lang] += np.bincount(trigrams(data[at : at + _CHUNK + 2]), minlength=1 << BITS)
+                data = f" {text.lower()} ".encode("utf-8", "surrogatepass")
+                of.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                for at in range(0, len(data) - 2, _CHUNK):
+                    of[lang] += np.bincount(trigrams(data[at : at + _CHUNK + 2]), minlength=1 << BITS)
     for lang, counts in of.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "gram", "n"])
@@ -125,7 +124,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
             got = []
             for text in b.column("text").to_pylist():
                 ll = m(text)
-                got.append(m.langs[int(ll.argmax())] if ll.any() else None)
+                got.append(m.langs[int(ll.argmax())] if letters(text) else None)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("host", "domain", "suffix", "declared")), pa.array(got, pa.string())], names=["host", "domain", "suffix", "declared", "verdict"])
 
     counted = cut(src.select("host", "domain", "suffix", "declared", "text").mapInArrow(verdicts, "host string, domain string, suffix string, declared string, verdict string").filter("verdict is not null").groupBy("host", "domain", "suffix", "declared", "verdict").agg(F.count(F.lit(1)).alias("n")))
@@ -165,7 +164,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
             lang, sure, alone, gone = [], [], [], []
             for text, d, s, p in zip(*(b.column(c).to_pylist() for c in ("text", "declared", "suffix", "prior")), strict=True):
                 ll = m(text)
-                if not ll.any():
+                if not letters(text):
                     lang.append(None), sure.append(None), alone.append(None), gone.append(True)
                     continue
                 x = ll + np.log(np.array(p) if p else base)
