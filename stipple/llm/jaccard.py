@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stipple.llm.common import cut, gram_hashes, lower_words, prepare, table
 from stipple.llm.components import components
@@ -28,6 +29,8 @@ PART = 50_000
 BROADCAST_ROWS = 500_000
 #: Documents of a bucket, chosen by hashes, that all its others are compared with at first.
 PIVOTS = 4
+#: Tokens before a shared one that tell whether it is a pair's first.
+LOOK_BACK = 4
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -133,6 +136,11 @@ def _field(name: str, side: str = "") -> Column:
     return F.shiftright(f"{side}info", at).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _overlap(nx: Column, ny: Column) -> Column:
+    """Tokens that two sets of these sizes share if they link, at least."""
+    return F.ceil((nx + ny) * LEAST / (100 + LEAST))
+
+
 def _prefixes(order) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Order = order.value
@@ -286,10 +294,24 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     counts = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "main")
     open_rows = cut(marked.join(mixed, "token"))
-    light = side("x", open_rows.filter("comp <> main"), "comp")
-    every = side("y", open_rows, "comp", "main")
-    met = light.join(every, "token").filter("x_comp <> y_comp and (y_comp = y_main or x_sig < y_sig)")
-    second = linked(candidates(met))
+    # A pair is told at its first shared token, where enough of both must be left to reach the overlap that it needs.
+    # Tokens before that one aren't shared; looking back over a few leaves out nearly all later meetings.
+    back = Window.partitionBy("sig").orderBy(_field("place"))
+    open_rows = open_rows.withColumn("before", F.array(*[F.lag("token", k).over(back) for k in range(1, LOOK_BACK + 1)]))
+    light = side("x", open_rows.filter("comp <> main"), "comp", "before")
+    every = side("y", open_rows, "comp", "main", "before")
+    nx, ny = _field("n", "x_"), _field("n", "y_")
+    left = F.least(nx - _field("place", "x_"), ny - _field("place", "y_"))
+    other = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_sig") < F.col("y_sig")))
+    met = light.join(every, "token").filter(other & (left >= _overlap(nx, ny)) & ~F.coalesce(F.arrays_overlap("x_before", "y_before"), F.lit(False)))
+    pairs = met.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
+    # Then as many tokens must be shared in the shorter of both prefixes as it asks for.
+    own = open_rows.groupBy("sig").agg(F.collect_list(F.struct(_field("place").alias("place"), "token")).alias("pre"), F.first(_field("n")).alias("n"), F.first(_field("ask")).alias("ask"))
+    for end in ("a", "b"):
+        pairs = pairs.join(own.select(*[F.col(c).alias(end if c == "sig" else f"{end}_{c}") for c in own.columns]), end)
+    need, ask = _overlap(F.col("a_n"), F.col("b_n")), F.least("a_ask", "b_ask") + 1
+    prefix = lambda end: F.transform(F.filter(f"{end}_pre", lambda x: x["place"] < F.col(f"{end}_n") - need + ask), lambda x: x["token"])
+    second = linked(pairs.filter(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= ask).select("a", "b"))
     whole = cut(components(first.unionByName(second)))
     groups = ids.join(whole.select(F.col("node").alias("sig"), "comp"), "sig", "left")
     return groups.select("doc_id", "rowkey", "n", F.coalesce("comp", "sig").alias("grp"))
