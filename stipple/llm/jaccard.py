@@ -29,6 +29,8 @@ PART = 50_000
 BROADCAST_ROWS = 500_000
 #: Documents of a bucket, chosen by hashes, that all its others are compared with at first.
 PIVOTS = 4
+#: Rounds of such comparisons at most, as long as the pairs left are more than so many times the index's rows.
+TURNS, WORTH = 6, 4
 #: Tokens before a shared one that tell whether it is a pair's first.
 LOOK_BACK = 4
 
@@ -282,18 +284,32 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         by = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("ask").alias("ask"), F.max("rest").alias("rest"), F.first("sum").alias("sum"))
         return by.filter((F.col("k") > F.col("ask")) & (F.col("rest") * (100 + LEAST) >= F.col("sum") * LEAST)).select("a", "b")
 
+    def pivots(of: DataFrame, turn: int) -> DataFrame:
+        """Some documents of each bucket, chosen by hashes that are alike in all buckets."""
+        best = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "sig").alias("h"), "sig", "info")).alias(f"p{k}") for k in range(PIVOTS)]
+        few = F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.sig").alias("sig"), F.col(f"p{k}.info").alias("info")) for k in range(PIVOTS)]))
+        return of.groupBy("token").agg(*best).select("token", F.explode(few).alias("p")).select("token", F.col("p.sig").alias("y_sig"), F.col("p.info").alias("y_info"))
+
     # First each bucket's documents are compared with a few of them only: in a large group most then hang together.
-    pivot = [F.min(F.struct(F.xxhash64(F.lit(k), "sig").alias("h"), "sig", "info")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = rows.groupBy("token").agg(*pivot).select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.sig").alias("sig"), F.col(f"p{k}.info").alias("info")) for k in range(PIVOTS)]))).alias("p")).select("token", F.col("p.sig").alias("y_sig"), F.col("p.info").alias("y_info"))
-    first = linked(candidates(side("x", rows).join(pivots, "token").filter("x_sig <> y_sig")))
-    comps = cut(components(first))
+    # Where many don't, those beside a bucket's largest component are compared with a few others of it, and so on.
+    size = rows.count()
+    links = linked(candidates(side("x", rows).join(pivots(rows, 0), "token").filter("x_sig <> y_sig")))
+    for turn in range(1, TURNS + 1):
+        comps = components(links)
+        marked = rows.join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        counts = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+        mixed = counts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        open_rows = cut(marked.join(mixed.select("token", F.col("m.comp").alias("main"), "all"), "token"))
+        left = open_rows.filter("comp <> main").agg(F.sum("all")).first()[0] or 0
+        if left <= size * WORTH or turn == TURNS:
+            break
+        new = linked(candidates(side("x", open_rows.filter("comp <> main")).join(pivots(open_rows.filter("comp = main"), turn), "token")))
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
 
     # Then what is left: pairs of different components.  In each bucket the largest component is met by the others'
     # documents, which are few there, but not by itself.
-    marked = rows.join(comps.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    counts = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "main")
-    open_rows = cut(marked.join(mixed, "token"))
     # A pair is told at its first shared token, where enough of both must be left to reach the overlap that it needs.
     # Tokens before that one aren't shared; looking back over a few leaves out nearly all later meetings.
     back = Window.partitionBy("sig").orderBy(_field("place"))
@@ -312,7 +328,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     need, ask = _overlap(F.col("a_n"), F.col("b_n")), F.least("a_ask", "b_ask") + 1
     prefix = lambda end: F.transform(F.filter(f"{end}_pre", lambda x: x["place"] < F.col(f"{end}_n") - need + ask), lambda x: x["token"])
     second = linked(pairs.filter(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= ask).select("a", "b"))
-    whole = cut(components(first.unionByName(second)))
+    whole = components(links.unionByName(second))
     groups = ids.join(whole.select(F.col("node").alias("sig"), "comp"), "sig", "left")
     return groups.select("doc_id", "rowkey", "n", F.coalesce("comp", "sig").alias("grp"))
 
