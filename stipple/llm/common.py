@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch.  Texts can be long, so a batch must stay small enough for a Python worker.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 _DEFAULT_BATCH = "10000"
 
 MULT = 0x9E3779B97F4A7C15

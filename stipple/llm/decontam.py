@@ -19,7 +19,7 @@ REPEATS, SAMPLED = 16, 2
 #: Items that one pass over the documents looks for; more take more passes.
 BLOCK_ITEMS = 10_000
 #: Bytes of text that are looked through at once, if a single Arrow batch doesn't hold more.
-FIND_BYTES = 16 << 20
+FIND_BYTES = 4 << 20
 _TABLE = 20  # bits of the table of word pairs
 #: Punctuation that normalising takes away, and spaces beyond ASCII that part words.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -116,7 +116,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(sig)
                 parts.append(s)
                 held += len(s)
-        if held > 8_000_000:
+        if held > 2_000_000:
             fold()
         nothing = pa.nulls(len(b), pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rowkey"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), nothing, nothing], names=names)
@@ -254,6 +254,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     index = src.select("text").mapInArrow(_prefixes(order), "token long, sig long, info long, part int")
     rows = cut(index.repartition("token", "part").sortWithinPartitions("token", "sig").mapInArrow(_shared(often), "token long, sig long, info long"))
+    order.destroy(), often.destroy()  # workers that live on would keep them
     texts_of = ids.filter("sig is not null").groupBy("sig").agg(F.min("rowkey").alias("rowkey"))
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -238,6 +238,8 @@ def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_
 
     stretched = ask.mapInArrow(deal, "gram long, part int, parts int, key long, start int, body binary")
     located = cut(stretched.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(_locate, _SPANS))
+    if shared:
+        shared.destroy()  # workers that live on would keep it
     # Of a window, each part of its gram's texts tells once, so that these groups are small.
     across = located.filter("code1 is not null").groupBy("code1", "code2").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("key", "start")).alias("at")).filter("n > 1")
     more = across.select(F.explode("at").alias("x")).filter("x.key is not null").select("x.key", "x.start", (F.col("x.start") + WINDOW).alias("stop"))
