@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm.common import column, prepare, table
+from stipple.llm.common import column, cut, prepare, table
 
 # What HTML says of its elements, and names by which pages mark what isn't their main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +38,9 @@ SUPPORT = 0.5
 LEAST_PAGES = 4
 #: A slot whose text is links to this share, over all pages of the host, is a menu.
 LINKED = 0.6
+#: Tokens of all templates (32 bytes each) that all workers may hold; more meet the pages by the host, and hosts
+#: with many pages are then dealt over parts of about so many pages.
+BROADCAST_TOKENS, PART_PAGES = 500_000, 5_000
 
 
 def host_of(url: str | None) -> str:
@@ -247,7 +250,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     prepare(pages.sparkSession)
     src = pages.select(F.col(f"`{id_col}`").alias("page_id"), column(pages, url_col, "string").alias("__url"), column(pages, html_col, "string").alias("__html"))
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("__url", F.lit("")), r"^[a-zA-Z][A-Za-z0-9_+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    both = src.withColumn("host", host).join(templates(src.select("__url", "__html")), "host", "left")
+    src = src.withColumn("host", host)
+    deduced = cut(templates(src.select("__url", "__html")))
+    if (deduced.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        both = src.join(F.broadcast(deduced), "host", "left")
+    else:  # a page draws one of as many parts as the largest host needs
+        parts = F.ceil(F.col("pages") / PART_PAGES).cast("int")
+        most = deduced.agg(F.max(parts)).first()[0]
+        drawn = F.pmod(F.xxhash64("page_id", "__url", "__html"), F.lit(most))
+        dealt = deduced.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+        both = src.withColumn("part", drawn).join(dealt, ["host", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}

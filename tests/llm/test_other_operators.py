@@ -68,7 +68,10 @@ def test_slots_beside_the_article():
     assert html.main_text(html.parse(PAGE)[0], html.Template(0, [])) == "Tést & more\n\nA link <b> line\n\nEnd of text"
 
 
-def test_template_of_a_host_without_marks(spark):
+@pytest.mark.parametrize("tokens, part", [(500_000, 5_000), (0, 3)])
+def test_template_of_a_host_without_marks(spark, monkeypatch, tokens, part):
+    monkeypatch.setattr(html, "BROADCAST_TOKENS", tokens)
+    monkeypatch.setattr(html, "PART_PAGES", part)
     pages = [(k, f"http://h.example/{k}", f"<body><div><p>Welcome to our site</p></div><table><tr><td><a href=1>One</a> <a href=2>Two</a></td></tr></table><div><p>Story {k} tells of {k * 7} things.</p></div><div>All rights reserved</div></body>", "x") for k in range(8)]
     pages += [(100, None, None, "x"), (101, "", "", "x"), (None, "http://other.example", "<p>alone", "x"), (103, "nohost", "<" * 500 + " " + "a" * 5000, "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
