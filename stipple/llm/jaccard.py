@@ -28,9 +28,9 @@ PART = 50_000
 #: Texts or ids that all workers may hold as one side of a join.
 BROADCAST_ROWS = 500_000
 #: Documents of a bucket, chosen by hashes, that all its others are compared with at first.
-PIVOTS = 4
+PIVOTS = 16
 #: Rounds of such comparisons at most, as long as the pairs left are more than so many times the index's rows.
-TURNS, WORTH = 6, 4
+TURNS, WORTH = 2, 8
 #: Tokens before a shared one that tell whether it is a pair's first.
 LOOK_BACK = 4
 
