@@ -33,6 +33,8 @@ PIVOTS = 16
 TURNS, WORTH = 2, 8
 #: Tokens before a shared one that tell whether it is a pair's first.
 LOOK_BACK = 4
+#: Words of 64 bits of a set's bitmap, which bounds what two sets can share.
+BITMAP = 8
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -46,6 +48,12 @@ def signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
 
+def bitmap(s: np.ndarray) -> list[int]:
+    flags = np.zeros(64 * BITMAP, np.uint8)
+    flags[s & np.uint64(64 * BITMAP - 1)] = 1
+    return np.packbits(flags).view(np.int64).tolist()
+
+
 def least_overlap(n: int) -> int:
     """Tokens that a set of n shares with any set it links with, at least."""
     return -(-n * LEAST // 100)
@@ -87,7 +95,7 @@ class Order:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document its set's signature and size; of the task its most frequent shingles."""
-    names = ["doc_id", "rowkey", "sig", "n", "token", "times"]
+    names = ["doc_id", "rowkey", "sig", "n", "bits", "token", "times"]
     seen: set[int] = set()
     parts: list[np.ndarray] = []
     kept: tuple[np.ndarray, np.ndarray] | None = None
@@ -107,11 +115,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         id_type = b.column("doc_id").type
-        sigs, sizes = [], []
+        sigs, sizes, bits = [], [], []
         for t in b.column("text").to_pylist():
             s = shingles(t)
             sig = signature(s) if len(s) else None
-            sigs.append(sig), sizes.append(len(s))
+            sigs.append(sig), sizes.append(len(s)), bits.append(bitmap(s) if len(s) else None)
             if len(s) and sig not in seen:
                 seen.add(sig)
                 parts.append(s)
@@ -119,12 +127,12 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held > 2_000_000:
             fold()
         nothing = pa.nulls(len(b), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rowkey"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), nothing, nothing], names=names)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rowkey"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), nothing, nothing], names=names)
     if parts:
         fold()
     if kept is not None and len(kept[0]):
         m = len(kept[0])
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(kept[0].view(np.int64)), pa.array(kept[1].astype(np.int64))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.list_(pa.int64())), pa.array(kept[0].view(np.int64)), pa.array(kept[1].astype(np.int64))], names=names)
 
 
 # A document's row under a token: its place (28 bits), its set's size (28), the matches its prefix asks for (4) and
@@ -245,8 +253,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prepare(spark)
     src = _keyed(docs, id_col, text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
-    survey = cut(src.mapInArrow(_survey, f"doc_id {kind}, rowkey long, sig long, n long, token long, times long"))
+    survey = cut(src.mapInArrow(_survey, f"doc_id {kind}, rowkey long, sig long, n long, bits array<long>, token long, times long"))
     ids = survey.filter("rowkey is not null").select("doc_id", "rowkey", "sig", "n")
+    bits_of = survey.filter("sig is not null").select("sig", *[F.col("bits")[k].alias(f"b{k}") for k in range(BITMAP)]).dropDuplicates(["sig"])
     told = survey.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()
     tokens, times = told["token"].to_numpy(), told["times"].to_numpy()
     order = spark.sparkContext.broadcast(Order(tokens.view(np.uint64), times))
@@ -314,13 +323,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # A pair is told at its first shared token, where enough of both must be left to reach the overlap that it needs.
     # Tokens before that one aren't shared; looking back over a few leaves out nearly all later meetings.
     back = Window.partitionBy("sig").orderBy(_field("place"))
-    open_rows = open_rows.withColumn("before", F.array(*[F.lag("token", k).over(back) for k in range(1, LOOK_BACK + 1)]))
-    light = side("x", open_rows.filter("comp <> main"), "comp", "before")
-    every = side("y", open_rows, "comp", "main", "before")
+    # A bit of one bitmap that the other lacks stands for a token that isn't shared, which bounds the overlap as well.
+    open_rows = open_rows.join(bits_of, "sig").withColumn("before", F.array(*[F.lag("token", k).over(back) for k in range(1, LOOK_BACK + 1)]))
+    bits = [f"b{k}" for k in range(BITMAP)]
+    light = side("x", open_rows.filter("comp <> main"), "comp", "before", *bits)
+    every = side("y", open_rows, "comp", "main", "before", *bits)
+    alone = lambda a, b: sum(F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(f"{b}_{c}"))) for c in bits)
+    most = F.least(_field("n", "x_") - alone("x", "y"), _field("n", "y_") - alone("y", "x"))
     nx, ny = _field("n", "x_"), _field("n", "y_")
     left = F.least(nx - _field("place", "x_"), ny - _field("place", "y_"))
     other = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_sig") < F.col("y_sig")))
-    met = light.join(every, "token").filter(other & (left >= _overlap(nx, ny)) & ~F.coalesce(F.arrays_overlap("x_before", "y_before"), F.lit(False)))
+    met = light.join(every, "token").filter(other & (left >= _overlap(nx, ny)) & (most >= _overlap(nx, ny)) & ~F.coalesce(F.arrays_overlap("x_before", "y_before"), F.lit(False)))
     pairs = met.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
     # Then as many tokens must be shared in the shorter of both prefixes as it asks for.
     own = open_rows.groupBy("sig").agg(F.collect_list(F.struct(_field("place").alias("place"), "token")).alias("pre"), F.first(_field("n")).alias("n"), F.first(_field("ask")).alias("ask"))

@@ -340,3 +340,13 @@ def test_empty_tables(spark, nothing):
     assert ctw.score(nothing).count() == 0
     assert decontam.find_leaks(nothing, items).count() == 0
     assert language.identify(nothing).count() == 0
+
+
+def test_bitmaps_never_forbid_an_overlap():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 180)), replace=False)) for _ in range(2))
+        x, y = jaccard.bitmap(a), jaccard.bitmap(b)
+        alone = sum(((p & ~q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))
+        assert len(np.intersect1d(a, b)) <= len(a) - alone
