@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stipple.llm.common import column, prepare
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 _LEAF = 8  # 256 ranks in a leaf word of the bitmap
 
 
