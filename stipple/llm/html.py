@@ -38,6 +38,7 @@ SUPPORT = 0.5
 LEAST_PAGES = 4
 #: A slot whose text is links to this share, over all pages of the host, is a menu.
 LINKED = 0.6
+_HEADING = re.compile(r"/h[1-6](?:\[[^/]*)?$")
 #: Tokens of all templates (32 bytes each) that all workers may hold; more meet the pages by the host, and hosts
 #: with many pages are then dealt over parts of about so many pages.
 BROADCAST_TOKENS, PART_PAGES = 500_000, 5_000
@@ -223,20 +224,31 @@ class Template:
 
 
 def main_text(blocks: list[tuple[str, str, bool, bool, int]], template: Template) -> str:
-    """What the template leaves: blocks of the main slots, joined by a blank line."""
+    """What the template leaves: blocks of the main slots, joined by a blank line.
+
+    Template text and slots of links go, inside a main part too.  Blocks outside of the main part of a page stay only
+    if the template has their very slot, as one whose text is the page's own.  Elements and marks that say they are
+    beside the text are believed.
+    """
     framed = any(main and not side for _, _, side, main, _ in blocks)
-    out = []
+    told = template.pages >= LEAST_PAGES
+    left: list[str] = []
     for path, text, side, main, links in blocks:
-        if side or framed and not main:
+        if side:
             continue
-        if not main:  # without a main part, the template decides what belongs to the page itself
-            if template.pages >= LEAST_PAGES and _key("text", path, text) in template.tokens:
-                continue
+        role = _key("text", path, text)
+        if told and role in template.tokens:
+            continue
+        if framed and not main and not (told and _key("path", path) in template.tokens):
+            continue
+        if links >= LINKED * len(text):
             slot = template.slot(path)
-            if links >= LINKED * len(text) and (not slot or template.tokens[_key("path", slot)] >= LINKED):
+            linked = template.tokens[_key("path", slot)] >= LINKED if slot else not main
+            # one page says nothing of a main part's slots, and a heading may well link to the page itself
+            if linked and not (main and (not told or _HEADING.search(path))):
                 continue
-        out.append(text)
-    return "\n\n".join(out)
+        left.append(text)
+    return "\n\n".join(left)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

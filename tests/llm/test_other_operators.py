@@ -81,6 +81,17 @@ def test_template_of_a_host_without_marks(spark, monkeypatch, tokens, part):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+
+
+def test_template_inside_and_outside_the_article(spark):
+    row = "<body><article><div><p>Read our special offer now</p></div><h1><a href=x>Title {0}</a></h1><p>Story {0} tells of it.</p><ul><li><a href=y>Related {0}</a></li></ul></article><div><p>By author {0}</p></div><div>Rights reserved</div></body>"
+    got = texts(spark, [(k, "http://h.example/", row.format(f"no{k}")) for k in range(6)])
+    assert got == {k: f"Title no{k}\n\nStory no{k} tells of it.\n\nBy author no{k}" for k in range(6)}
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
