@@ -32,16 +32,20 @@ _MARKS = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|
 _NAME = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
-#: A token is part of a host's template if at least this share of its pages has it.
+#: A token that no other shares its vector with needs this share of its host's pages.
 SUPPORT = 0.5
-#: Text is template text only where so many pages speak for it.
-LEAST_PAGES = 4
+#: An equivalence class is template from so many distinct pages and so many tokens; text is template text only then.
+LEAST_PAGES, LEAST_TOKENS = 4, 2
 #: A slot whose text is links to this share, over all pages of the host, is a menu.
 LINKED = 0.6
-_HEADING = re.compile(r"/h[1-6](?:\[[^/]*)?$")
 #: Tokens of all templates (32 bytes each) that all workers may hold; more meet the pages by the host, and hosts
 #: with many pages are then dealt over parts of about so many pages.
 BROADCAST_TOKENS, PART_PAGES = 500_000, 5_000
+#: Tokens of one host's template that a row may hold; if a host has more, every page gets those it has itself.
+HOST_TOKENS = 50_000
+#: Contents that occur more than once, as all workers may hold them; more meet the pages by a join.
+BROADCAST_COPIES = 200_000
+_HEADING = re.compile(r"/h[1-6](?:\[[^/]*)?$")
 
 
 def host_of(url: str | None) -> str:
@@ -168,53 +172,79 @@ def _key(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
+def page_key(url: str | None, text: str | None) -> int:
+    return _key("page", url or "", text or "")
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each page, its tokens: paths of elements, and paths with the text that stands there."""
     for b in batches:
-        host, role, times, page, chars, linked = [], [], [], [], [], []
-        for url, text in zip(b.column("__url").to_pylist(), b.column("__html").to_pylist(), strict=True):
-            h, own = host_of(url), _key("page", url or "", text or "")
+        cols: list[list] = [[] for _ in range(8)]
+        for h, url, text, weight in zip(*(b.column(c).to_pylist() for c in ("host", "__url", "__html", "weight")), strict=True):
+            own = page_key(url, text)
             blocks, seen = parse(text or "")
-            of: dict[int, list[int]] = {0: [1, 0, 0]}
+            of: dict[int, list[int]] = {0: [1, 0, 0, 0]}
             for path, k in seen.items():
-                of[_key("path", path)] = [k, 0, 0]
+                of[_key("path", path)] = [k, 0, 0, 1]
             for path, block, _, _, links in blocks:
-                slot = of.setdefault(_key("path", path), [1, 0, 0])
+                slot = of.setdefault(_key("path", path), [1, 0, 0, 1])
                 slot[1] += len(block)
                 slot[2] += links
-                of.setdefault(_key("text", path, block), [0, 0, 0])[0] += 1
-            for r, (k, c, ln) in of.items():
-                host.append(h), role.append(r), times.append(k), page.append(own), chars.append(c), linked.append(ln)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (role, times, page, chars, linked))], names=["host", "role", "times", "page", "chars", "linked"])
+                of.setdefault(_key("text", path, block), [0, 0, 0, 0])[0] += 1
+            for r, (k, c, ln, element) in of.items():
+                for col, x in zip(cols, (h, r, k, own, c, ln, element, weight), strict=True):
+                    col.append(x)
+        types = [pa.string(), *[pa.int64()] * 6, pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["host", "role", "times", "page", "chars", "linked", "element", "weight"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """For each host its template: arrays of tokens, of their classes, and of the links' share in their slots.
+_TOKENS = "host string, role long, times long, page long, chars long, linked long, element long, weight double"
+
+
+def weighted(pages: DataFrame) -> DataFrame:
+    """Pages (host, __url, __html) with ``weight``: one over the number of pages of the host with the same content.
+
+    Content is what stands outside tags, comments, scripts and styles, so that copies count as one page.
+    """
+    shown = F.regexp_replace(F.coalesce("__html", F.lit("")), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)|<[^>]*>?", " ")
+    content = F.xxhash64(F.regexp_replace(shown, r"\s+", " "))
+    src = pages.select("host", "__url", "__html", content.alias("content"))
+    copies = cut(src.groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    both = src.join(F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies, ["host", "content"], "left")
+    return both.select("host", "__url", "__html", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
+def classes(tokens: DataFrame) -> DataFrame:
+    """The template tokens of every host: ``host``, ``role``, ``pages`` (of the host), ``links`` and ``sure``.
 
     The occurrence vector of a token has its count on every page of the host.  Two sums of hashes of (page, count)
     stand for the vector: they need no list of pages and combine before the shuffle, so that a host may hold any
-    share of all pages.  Tokens with one vector are an equivalence class.  Those on at least half of the host's
-    pages make the template; there are at most twice as many of them as a page has on average.
+    share of all pages.  Tokens with one vector are an equivalence class.  A class is template by its own support
+    and size: LEAST_PAGES distinct pages and LEAST_TOKENS tokens, whatever else the host has, so that each of
+    several layouts has its template.  A class of one token says nothing (it may be a chance), unless all pages have it.
+    A class is ``sure`` if it holds elements or is on SUPPORT of the host's pages; text alone on fewer pages may as
+    well be what near copies share.
     """
-    tokens = pages.mapInArrow(_tokens, "host string, role long, times long, page long, chars long, linked long")
     low = lambda salt: F.sum(F.xxhash64(F.lit(salt), "page", "times").bitwiseAND(F.lit(0x7FFFFFFF)))
-    by = tokens.groupBy("host", "role").agg(F.count(F.lit(1)).alias("n"), low(1).alias("v1"), low(2).alias("v2"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    by = tokens.groupBy("host", "role").agg(F.round(F.sum("weight")).cast("long").alias("n"), low(1).alias("v1"), low(2).alias("v2"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("element").alias("element"))
+    by = cut(by)  # read three times below, parsed once
     of_host = by.filter("role = 0").select("host", F.col("n").alias("pages"))
-    kept = by.join(of_host, "host").filter((F.col("n") >= F.col("pages") * SUPPORT) & (F.col("role") != 0))
-    entry = F.struct("role", F.xxhash64("v1", "v2").alias("vector"), "n", (F.col("linked") / F.greatest(F.col("chars"), F.lit(1))).alias("links"))
-    return kept.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(entry).alias("template"))
+    kept = by.filter("role != 0").join(of_host, "host").filter((F.col("n") >= LEAST_PAGES) | (F.col("n") == F.col("pages")))
+    vector = F.xxhash64("v1", "v2")
+    kept = kept.select("host", "role", "pages", "n", vector.alias("vector"), "element", (F.col("linked") / F.greatest(F.col("chars"), F.lit(1))).alias("links"))
+    sizes = kept.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("element").alias("framed"))
+    kept = kept.join(sizes, ["host", "vector"]).filter((F.col("size") >= LEAST_TOKENS) | (F.col("n") == F.col("pages")))
+    sure = (F.col("framed") > 0) | (F.col("n") >= F.col("pages") * SUPPORT)
+    return kept.select("host", "role", "pages", "links", sure.alias("sure"))
 
 
 class Template:
-    """The classes of one host and what they say of a slot."""
+    """Template tokens of one host (or those of them that a page has) and what they say of a slot."""
 
     def __init__(self, pages: int, entries: list[dict]):
         self.pages = pages
-        sizes: dict[int, int] = {}
-        for e in entries:
-            sizes[e["vector"]] = sizes.get(e["vector"], 0) + 1
-        # A class of one token alone says nothing (it may be a chance), unless all pages have it.
-        self.tokens = {e["role"]: e["links"] for e in entries if sizes[e["vector"]] > 1 or e["n"] == pages}
+        self.tokens = {e["role"]: e["links"] for e in entries}
+        self.unsure = {e["role"] for e in entries if not e["sure"]}
 
     def slot(self, path: str) -> str:
         """The innermost template element around a block: classes nest as their paths do."""
@@ -228,16 +258,18 @@ def main_text(blocks: list[tuple[str, str, bool, bool, int]], template: Template
 
     Template text and slots of links go, inside a main part too.  Blocks outside of the main part of a page stay only
     if the template has their very slot, as one whose text is the page's own.  Elements and marks that say they are
-    beside the text are believed.
+    beside the text are believed.  A page whose text would mostly go by unsure classes is a near copy and keeps it.
     """
     framed = any(main and not side for _, _, side, main, _ in blocks)
     told = template.pages >= LEAST_PAGES
-    left: list[str] = []
+    left: list[tuple[str, bool]] = []
     for path, text, side, main, links in blocks:
         if side:
             continue
         role = _key("text", path, text)
         if told and role in template.tokens:
+            if role in template.unsure:
+                left.append((text, True))
             continue
         if framed and not main and not (told and _key("path", path) in template.tokens):
             continue
@@ -247,8 +279,16 @@ def main_text(blocks: list[tuple[str, str, bool, bool, int]], template: Template
             # one page says nothing of a main part's slots, and a heading may well link to the page itself
             if linked and not (main and (not told or _HEADING.search(path))):
                 continue
-        left.append(text)
-    return "\n\n".join(left)
+        left.append((text, False))
+    doubted = sum(len(t) for t, x in left if x)
+    own = sum(len(t) for t, x in left if not x)
+    return "\n\n".join(t for t, x in left if not x or doubted > own)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [page_key(u, t) for u, t in zip(b.column("__url").to_pylist(), b.column("__html").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, "page"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -263,21 +303,33 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     src = pages.select(F.col(f"`{id_col}`").alias("page_id"), column(pages, url_col, "string").alias("__url"), column(pages, html_col, "string").alias("__html"))
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("__url", F.lit("")), r"^[a-zA-Z][A-Za-z0-9_+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     src = src.withColumn("host", host)
-    deduced = cut(templates(src.select("__url", "__html")))
-    if (deduced.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_TOKENS:
-        both = src.join(F.broadcast(deduced), "host", "left")
-    else:  # a page draws one of as many parts as the largest host needs
+    pages_ = weighted(src.select("host", "__url", "__html"))
+    entry = F.struct("role", "links", "sure")
+    found = cut(classes(pages_.mapInArrow(_tokens, _TOKENS)))
+    sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    grouped = found.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(entry).alias("template"))
+    if (total or 0) <= BROADCAST_TOKENS:
+        both = src.join(F.broadcast(cut(grouped)), "host", "left")
+    elif largest <= HOST_TOKENS:  # a page draws one of as many parts as the largest host needs
         parts = F.ceil(F.col("pages") / PART_PAGES).cast("int")
+        deduced = cut(grouped)
         most = deduced.agg(F.max(parts)).first()[0]
         drawn = F.pmod(F.xxhash64("page_id", "__url", "__html"), F.lit(most))
         dealt = deduced.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
         both = src.withColumn("part", drawn).join(dealt, ["host", "part"], "left")
+    else:  # a template too large for a row: every page meets the tokens that it has itself, which decide alike
+        has = pages_.mapInArrow(_tokens, _TOKENS).select("host", "role", "page").distinct()
+        own = has.join(found, ["host", "role"]).groupBy("page").agg(F.max("pages").alias("pages"), F.collect_list(entry).alias("template"))
+        both = src.mapInArrow(_keyed, f"page_id {src.schema['page_id'].dataType.simpleString()}, __url string, __html string, host string, page long").join(own, "page", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}
         for b in batches:
             texts = []
+            page = b.column("page").to_pylist() if "page" in b.schema.names else None
             for i, (h, text) in enumerate(zip(b.column("host").to_pylist(), b.column("__html").to_pylist(), strict=True)):
+                h = h if page is None else page[i]
                 if h not in known:
                     if len(known) >= 256:
                         known.clear()

@@ -92,6 +92,25 @@ def test_template_inside_and_outside_the_article(spark):
     assert got == {k: f"Title no{k}\n\nStory no{k} tells of it.\n\nBy author no{k}" for k in range(6)}
 
 
+@pytest.mark.parametrize("tokens, most", [(500_000, 50_000), (0, 50_000), (0, 0)])
+def test_template_by_distinct_pages_of_each_layout(spark, monkeypatch, tokens, most):
+    monkeypatch.setattr(html, "BROADCAST_TOKENS", tokens)
+    monkeypatch.setattr(html, "HOST_TOKENS", most)
+    # copies aren't template, though their scripts differ
+    rows = [(k, "http://c.example/", f"<body><script>t({k})</script><div><p>One story.</p><p>Its second paragraph.</p></div></body>") for k in range(3)]
+    rows += [(3, "http://c.example/", "<body><div><p>Another.</p></div></body>"), (4, "http://c.example/", "<body><div><p>A third.</p></div></body>")]
+    # three layouts on one nameless host, each on a third of the pages
+    for a in range(3):
+        rows += [(10 * (a + 1) + k, None, f"<body><div class=x{'abc'[a]}><p>Menu {a}</p><p>Terms {a}</p></div><table><tr><td>Own words {a} {k}</td></tr></table></body>") for k in range(5)]
+    # near copies keep what they share
+    rows += [(50 + k, "http://n.example/", f"<body><div><p>A long paragraph of the story.</p><p>And a further long one.</p><p>Edit {k}</p></div></body>") for k in range(4)]
+    rows += [(60 + k, "http://n.example/", f"<body><div><p>Own text of page {k}</p></div></body>") for k in range(6)]
+    got = texts(spark, rows)
+    assert [got[k] for k in range(5)] == ["One story.\n\nIts second paragraph."] * 3 + ["Another.", "A third."]
+    assert all(got[10 * (a + 1) + k] == f"Own words {a} {k}" for a in range(3) for k in range(5))
+    assert all(got[50 + k] == f"A long paragraph of the story.\n\nAnd a further long one.\n\nEdit {k}" for k in range(4))
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
