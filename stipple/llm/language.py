@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from stipple.llm import html
 from stipple.llm.common import cut, prepare, table
 
 #: Bits of the hash of a byte trigram.
@@ -40,7 +42,10 @@ class TextModel:
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
-        self.logs = np.log((counts + 1.0) / (counts + 1.0).sum(0)).astype(np.float32)
+        self.logs = np.empty(counts.shape, np.float32)
+        for k in range(len(langs)):  # one by one, as there may be many languages
+            own = counts[:, k] + 1.0
+            self.logs[:, k] = np.log(own / own.sum())
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Log likelihoods, scaled to TRIGRAMS, of a text between spaces; zeros for one without letters."""
@@ -85,16 +90,16 @@ def _source(docs: DataFrame, text: str, declared: str | None, address: str | Non
 
 def train(src: DataFrame) -> TextModel:
     """Learn trigrams from a sample of the texts that declare their language: about SAMPLE for each language."""
-    sizes = {r["declared"]: r["n"] for r in src.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(200).collect()}
+    sizes = {r["declared"]: r["n"] for r in src.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return TextModel(["und"], np.zeros((1 << BITS, 1)))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, SAMPLE / sizes[lang]))])
     drawn = F.pmod(F.xxhash64(F.lit(31), "kept", "text"), F.lit(1 << 30)) / float(1 << 30)
     rows = src.filter(F.col("declared").isin(langs)).filter(drawn < share[F.col("declared")]).select("text", "declared")
-    counts = np.zeros((1 << BITS, len(langs)))
-    for lang, gram, n in rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n")).collect():
-        counts[gram, langs.index(lang)] += n
+    counts, at = np.zeros((1 << BITS, len(langs))), {lang: k for k, lang in enumerate(langs)}
+    for lang, gram, n in rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n")).toLocalIterator():
+        counts[gram, at[lang]] += n
     return TextModel(langs, counts)
 
 
@@ -141,8 +146,9 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
     said, suffixes = evidence("declared"), evidence("suffix")
 
     def level(*by: str) -> DataFrame:
-        each = [F.coalesce(F.sum(F.when(F.col("verdict") == lang, F.col("n"))), F.lit(0)).cast("double") for lang in langs]
-        return counted.filter(F.col(by[0]).isNotNull()).groupBy(*by).agg(F.array(*each).alias(f"n_{by[0]}"))
+        own = counted.filter(F.col(by[0]).isNotNull()).groupBy(*by, "verdict").agg(F.sum("n").cast("double").alias("n"))
+        of = own.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("of"))
+        return of.select(*by, F.transform(F.array(*map(F.lit, langs)), lambda lang: F.coalesce(F.col("of")[lang], F.lit(0.0))).alias(f"n_{by[0]}"))
 
     def smooth(counts: Column, prior: Column) -> Column:
         total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
@@ -185,6 +191,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select(F.col("kept.doc_id").alias("doc_id"), "detected", F.round("posterior", 6).alias("posterior"), "text_lang", "declared", "rejected")
 
 
+@F.arrow_udf(returnType=StringType())
+def page_text(pages: pa.Array) -> pa.Array:
+    """The text of a page as its own elements tell it; all its text if they leave none."""
+    out = []
+    for page in pages.to_pylist():
+        blocks = html.parse(page or "")[0]
+        out.append(html.main_text(blocks, html.Template(0, [])) or "\n\n".join(b[1] for b in blocks))
+    return pa.array(out, pa.string())
+
+
+def markup_lang(page: Column) -> Column:
+    """What the html element of a page declares as its language; null if nothing."""
+    said = F.regexp_extract(page, r"""(?i)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([a-z][a-z0-9_-]*)""", 1)
+    return F.when(said != "", said)
+
+
+def identify_pages(pages: DataFrame) -> DataFrame:
+    """`identify` on web pages (page_id, url, html): declared in their markup, with suffix and host from the url."""
+    prepare(pages.sparkSession)
+    src = pages.select("page_id", "url", page_text("html").alias("text"), markup_lang(F.col("html")).alias("lang"))
+    return identify(src, ("page_id",), address_col="url", host_col=None)
+
+
+def query_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3: the language of every page, from its text, the markup's declaration, the address suffix and the host."""
+    return identify_pages(table(spark, sf_dir, "pages")).select(F.col("kept.page_id").alias("page_id"), "detected", F.round("posterior", 6).alias("posterior"), "text_lang", "declared", "rejected")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents whose language is recognised, unchanged."""
     return identify(docs, tuple(docs.columns)).filter("not rejected").select("kept.*")

@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_decontam": decontam.query,
         "op2_ann": ann.query,
         "op3_language": language.query,
+        "op3_pages": language.query_pages,
         "op4_sharding": sharding.query,
         "op5_jaccard": jaccard.query,
         "op6_substrings": substrings.query,

@@ -350,3 +350,29 @@ def test_bitmaps_never_forbid_an_overlap():
         x, y = jaccard.bitmap(a), jaccard.bitmap(b)
         alone = sum(((p & ~q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))
         assert len(np.intersect1d(a, b)) <= len(a) - alone
+
+
+def test_languages_of_pages(spark, sf):
+    import __spark_entry__
+
+    got = {r["page_id"]: r for r in __spark_entry__.queries()["op3_pages"](spark, sf).collect()}
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    want = {k: re.search(r'<html lang="(\w+)"', x)[1] for k, x in pages.items()}
+    assert {k: r["declared"] for k, r in got.items()} == want
+    assert sum(got[k]["detected"] == want[k] for k in want) >= 0.9 * len(want)
+
+
+def test_suffix_and_host_of_pages_speak(spark):
+    page = "<html{}><body><article><p>{}</p></article></body></html>"
+    rows = [(k, f"http://a{k % 5}.example.{'de' if k % 2 else 'fr'}/", page.format(f" class=x lang={'de-AT' if k % 2 else 'fr'}", ("der die das und nicht " if k % 2 else "le la les est pas ") * 9)) for k in range(60)]
+    rows += [(100, "http://a1.example.de/", page.format("", "xq")), (101, "http://a1.example.fr/", page.format("", "xq")), (102, None, None)]
+    got = {r["page_id"]: r for r in language.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).selectExpr("kept.page_id", "*").collect()}
+    assert got[100]["detected"] == "de" and got[101]["detected"] == "fr" and got[102]["rejected"]
+    assert got[1]["declared"] == "de" and got[100]["declared"] is None
+
+
+def test_more_than_200_declared_languages(spark):
+    names = [a + b for a in "abcdefghijklmnop" for b in "abcdefghijklmn"]
+    rows = [(i, " ".join(f"{x}{x}q{x}" for _ in range(30)), x) for i, x in enumerate(names)] + [(1000 + i, f"{x}{x}q{x} " * 30, x) for i, x in enumerate(names[:200])]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), host_col=None).collect()
+    assert len(names) > 200 and all(r["text_lang"] == r["declared"] for r in got)
