@@ -175,9 +175,14 @@ class Items:
                 continue
             low, high = last[close] - (length - 2), hits[close]  # starts of windows that hold all these hits
             starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
-            starts = starts[(starts >= 0) & (starts + length <= len(w))]
-            starts = starts[doc[starts] == doc[starts + length - 1]]
-            self._meet(length, starts, w[starts[:, None] + np.arange(length)], out)
+            starts = starts[(starts >= 0) & (starts < len(w))]
+            left = np.searchsorted(doc, doc[starts], "right") - starts  # words up to the document's end
+            # a passage at the end may lack words of the item: what is left there is a window too, padded
+            fits = left >= length - allowed(length)
+            starts, left = starts[fits], left[fits]
+            windows = w[np.minimum(starts[:, None] + np.arange(length), len(w) - 1)]
+            windows[np.arange(length) >= left[:, None]] = 0
+            self._meet(length, starts, windows, out)
         return out
 
     def _meet(self, length: int, starts: np.ndarray, windows: np.ndarray, out: set[tuple[int, int]]) -> None:

@@ -352,6 +352,21 @@ def test_bitmaps_never_forbid_an_overlap():
         assert len(np.intersect1d(a, b)) <= len(a) - alone
 
 
+@pytest.mark.parametrize("size", [20, 40, 59])
+@pytest.mark.parametrize("how", ["cut", "deleted at the end", "deleted inside"])
+def test_recall_of_passages_that_lack_words(size, how):
+    rng, met = random.Random(f"{size} {how}"), 0
+    for _ in range(100):
+        item = [f"i{rng.randrange(5000)}" for _ in range(size)]
+        k = decontam.allowed(size)
+        gone = set(range(size - k, size)) if how == "cut" else set(rng.sample(range(size), k))
+        text = [f"t{rng.randrange(5000)}" for _ in range(80)] + [x for i, x in enumerate(item) if i not in gone]
+        text += [f"t{rng.randrange(5000)}" for _ in range(80)] if how == "deleted inside" else []
+        met += bool(decontam.Items([(1, " ".join(item))]).find([" ".join(text)])[0])
+    print(how, size, met)
+    assert met >= 95
+
+
 def test_languages_of_pages(spark, sf):
     import __spark_entry__
 
