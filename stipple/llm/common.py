@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch.  Texts can be long, so a batch must stay small enough for a Python worker.
-BATCH_ROWS = 256
-_DEFAULT_BATCH = "10000"
+#: Bytes of one Arrow batch, about.  Texts can be long, so a batch must stay small enough for a Python worker, while
+#: batches of numbers may hold as many rows as the session says.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 MULT = 0x9E3779B97F4A7C15
 
@@ -23,12 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches (unless the session chose a size) and a checkpoint folder (unless the session has one)."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", _DEFAULT_BATCH) == _DEFAULT_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches limited by their bytes (unless the session chose a size) and a checkpoint folder (unless it has one).
+
+    On a cluster the folder must be one that all machines share: only a session whose tasks run on the driver's own
+    machine gets a temporary folder.
+    """
+    if spark.conf.get(_BATCH_CONF, _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stipple-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stipple-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,11 +57,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that cut() wrote and that no plan needs any more."""
-    spark = df.sparkSession
-    file = spark._jvm.org.apache.hadoop.fs.Path(df._stipple_path)
-    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that no plan needs any more."""
+    for df in tables:
+        spark = df.sparkSession
+        file = spark._jvm.org.apache.hadoop.fs.Path(df._stipple_path)
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done.
+
+    They go when the driver's garbage is collected, which a driver with room to spare does not do for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def words(text: str | None) -> list[bytes]:
