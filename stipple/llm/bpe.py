@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stipple.llm.common import column, prepare
 
-#: Distinct pre-tokens that a worker remembers before it starts anew.
+#: Distinct pre-tokens in each of the two generations that a worker remembers, about 250 bytes each.
 CACHE_ENTRIES = 400_000
 _LEAF = 8  # 256 ranks in a leaf word of the bitmap
 
@@ -39,15 +39,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    pair: list[int] = [-1] * n  # rank of the pair that starts at a position now
+    get = ranks.get
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts at a position now
+    pair.append(-1)
     buckets: dict[int, list[int]] = {}
     leaves: dict[int, int] = {}
     top = 0
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            pair[i] = r
+    for i, r in enumerate(pair):
+        if r >= 0:
             if r in buckets:
                 buckets[r].append(i)
             else:
@@ -67,20 +66,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         at = buckets.pop(r)
         if len(at) > 1:
             at.sort()
-        for i in at:
+        for done, i in enumerate(at, 1):
             if pair[i] != r:
                 continue  # stale
             j = after[i]
             end = after[j]
             pair[j] = -1
             after[i] = end
+            least = r
             if end < n:
                 before[end] = i
-                q = get(piece[i : after[end]])
-                if q is None:
-                    pair[i] = -1
-                else:
-                    pair[i] = q
+                pair[i] = q = get(piece[i : after[end]], -1)
+                if q >= 0:
+                    if q < r:
+                        least = q
                     if q in buckets:
                         buckets[q].append(i)
                     else:
@@ -92,11 +91,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 pair[i] = -1
             p = before[i]
             if p >= 0:
-                q = get(piece[p:end])
-                if q is None:
-                    pair[p] = -1
-                else:
-                    pair[p] = q
+                pair[p] = q = get(piece[p:end], -1)
+                if q >= 0:
+                    if q < least:
+                        least = q
                     if q in buckets:
                         buckets[q].append(p)
                     else:
@@ -104,6 +102,12 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                         k = q >> _LEAF
                         leaves[k] = leaves.get(k, 0) | 1 << (q & 255)
                         top |= 1 << k
+            if least < r:  # the new pair goes first; the bucket's others wait
+                if done < len(at):
+                    buckets[r] = at[done:]
+                    leaves[leaf] |= low
+                    top |= 1 << leaf
+                break
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -112,19 +116,27 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers; missing ones are merged on demand."""
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers; missing ones are merged on demand.
+
+    What is looked up and not found here may be in the generation before, which goes when this one is full: so frequent
+    pre-tokens stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
+        self.former: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = merge(piece.encode("utf-8"), self.ranks)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.former.get(piece)
+        if packed is None:
+            ids = merge(piece.encode("utf-8"), self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.former = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
@@ -157,7 +169,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_c
     prepare(docs.sparkSession)
     kinds = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "exact": pa.bool_()}
     spark_kinds = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "exact": "boolean"}
-    cols = [F.col(f"`{id_col}`").alias("doc_id"), column(docs, text_col, "string").alias("__text")]
+    cols = [F.col(f"`{id_col}`").alias("doc_id"), column(docs, text_col, "string").alias("text")]
     if carry:
         cols.append(F.col(f"`{carry}`").alias("carried"))
     src = docs.select(*cols)
@@ -168,7 +180,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_c
         own = codec(path, pattern)
         for b in batches:
             got: dict[str, list] = {c: [] for c in outputs}
-            for text in b.column("__text").to_pylist():
+            for text in b.column("text").to_pylist():
                 packed = own.encode(text)
                 back = own.decode(packed) if packed else b""
                 for c, rows in got.items():

@@ -168,6 +168,36 @@ def test_bpe_of_very_long_pretokens():
         assert bpe.merge(text.encode(), ranks) == own.encode_ordinary(text)
 
 
+def plain_bpe(piece, ranks):
+    """The lowest rank first, of equal ones the leftmost."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_bpe_where_a_merge_makes_a_pair_of_lower_rank():
+    rng = random.Random(11)
+    for _ in range(200):
+        tokens = sorted({bytes([x]) for x in b"abc"} | {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(30)})
+        rng.shuffle(tokens)
+        ranks = {t: 37 * i for i, t in enumerate(tokens)}
+        for _ in range(30):
+            piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 25)))
+            assert bpe.merge(piece, ranks) == ([ranks[piece]] if piece in ranks else plain_bpe(piece, ranks))
+
+
+def test_bpe_with_a_full_cache(docs, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 20)
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    small, own = bpe.Codec(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for _, t in ROWS[:40]:
+        assert np.frombuffer(small.encode(t), np.uint32).tolist() == own.encode_ordinary(t or "")
+
+
 def test_sharding_is_exact_and_uniform(spark, docs):
     out = sharding.shuffle_into_shards(docs, 5)
     assert out.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
