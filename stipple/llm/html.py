@@ -30,11 +30,12 @@ MAIN_ROLES = frozenset("main article articlebody".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)/?>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
-_HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*[^>]*>", re.I) for tag in RAW}
 
 #: A token that no other shares its vector with needs this share of its host's pages.
 SUPPORT = 0.5
-#: An equivalence class is template from so many distinct pages and so many tokens; text is template text only then.
+#: An equivalence class is template from so many distinct pages and so many tokens (its support and size); pages of a
+#: host that has fewer can't show what repeats, and are read by their own elements.
 LEAST_PAGES, LEAST_TOKENS = 4, 2
 #: A slot whose text is links to this share, over all pages of the host, is a menu.
 LINKED = 0.6
@@ -45,21 +46,17 @@ BROADCAST_TOKENS, PART_PAGES = 500_000, 5_000
 HOST_TOKENS = 50_000
 #: Contents that occur more than once, as all workers may hold them; more meet the pages by a join.
 BROADCAST_COPIES = 200_000
-_HEADING = re.compile(r"/h[1-6](?:\[[^/]*)?$")
-
-
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url) if url else None
-    return m[1].lower() if m else ""
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Frame:
-    """An open element: its path of element names and marks, whether it is beside the text, and whether in a main part."""
+    """An open element: its path (by a hash of the element, its marks and the path above), and what it says of its text."""
 
-    __slots__ = ("tag", "path", "side", "main", "link")
+    __slots__ = ("tag", "path", "above", "block", "side", "main", "link")
 
-    def __init__(self, tag: str, path: str, side: bool, main: bool, link: bool):
-        self.tag, self.path, self.side, self.main, self.link = tag, path, side, main, link
+    def __init__(self, tag: str, path: int, above: Frame | None, side: bool, main: bool, link: bool):
+        self.tag, self.path, self.above, self.side, self.main, self.link = tag, path, above, side, main, link
+        self.block = above.block if above and tag in INLINE else self  # the innermost element that isn't inline
 
 
 def _open(parent: Frame, tag: str, attrs: str) -> Frame:
@@ -75,37 +72,47 @@ def _open(parent: Frame, tag: str, attrs: str) -> Frame:
     side = parent.side or tag in SIDE_TAGS or tag == "header" and not parent.main or any((v in SIDE_NAMES) if k == "name" else v in ("navigation", "banner", "contentinfo", "complementary", "search", "form") for k, v in names)
     if tag in ("html", "body") or tag in MAIN_TAGS:  # a name on the whole page says nothing of its parts
         side = parent.side or tag in MAIN_TAGS and any(k == "name" and v.startswith("comment") for k, v in names)
-    return Frame(tag, f"{parent.path}/{tag}" + (f"[{','.join(sorted(marks))}]" if marks else ""), side, main and not (side and not parent.main), parent.link or tag == "a")
+    return Frame(tag, _key("path", str(parent.path), tag, *sorted(marks)), parent, side, main and not (side and not parent.main), parent.link or tag == "a")
+
+
+#: A block: its element, its text, whether that is beside the main text, whether in a main part, and characters in links.
+Block = tuple[Frame, str, bool, bool, int]
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, bool, int]], dict[str, int]]:
-    """Blocks of text in page order, (path, text, beside, main, characters in links), and how often each path opens."""
-    root = Frame("", "", False, False, False)
+def parse(page: str) -> tuple[list[Block], dict[int, int]]:
+    """Blocks of text in page order, and how often each path opens.  Time grows with the page, however it nests."""
+    root = Frame("", 0, None, False, False, False)
     stack, blocks, seen = [root], [], {}
+    opened: dict[str, int] = {}  # elements on the stack, by their names
     buffer: list[str] = []
-    state = [root, 0]
+    owner, beside, linked, blank = root, False, 0, True
 
     def flush() -> None:
-        if buffer:
+        nonlocal linked, blank
+        if not blank:
             text = " ".join(entities.unescape("".join(buffer)).split())
-            buffer.clear()
             if text:
-                block = state[0]
-                blocks.append((block.path, text, block.side, block.main, min(state[1], len(text))))
-        state[1] = 0
+                blocks.append((owner, text, beside, owner.main, min(linked, len(text))))
+        buffer.clear()
+        linked, blank = 0, True
 
     def add(text: str) -> None:
-        if text:
-            if not buffer or not "".join(buffer).strip():
-                # the innermost element that isn't inline owns the block; a mark on an inline one still counts
-                own = next((f for f in reversed(stack) if f.tag not in INLINE), root)
-                state[0] = Frame(own.tag, own.path, stack[-1].side, own.main, False)
-            elif stack[-1].side != state[0].side:
-                flush()
-                state[0] = Frame(stack[-1].tag, stack[-1].path, stack[-1].side, stack[-1].main, False)
-            buffer.append(text)
-            if stack[-1].link:
-                state[1] += len(text.strip())
+        nonlocal owner, beside, linked, blank
+        top = stack[-1]
+        if blank:  # the innermost element that isn't inline owns the block; a mark on an inline one still counts
+            owner, beside = top.block, top.side
+        elif top.side != beside:
+            flush()
+            owner, beside = top, top.side
+        buffer.append(text)
+        blank = blank and not text.strip()
+        if top.link:
+            linked += len(text.strip())
+
+    def close(upto: int) -> None:
+        for f in stack[upto:]:
+            opened[f.tag] -= 1
+        del stack[upto:]
 
     at, n = 0, len(page)
     while at < n:
@@ -126,22 +133,25 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool, int]], dict[str,
             continue
         tag, end, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag not in INLINE:
-                        flush()
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break  # a stray end tag doesn't close a block
-            if tag in ("br", "p") and tag not in INLINE:
-                flush() if tag == "p" else add(" ")
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        if tag not in INLINE:
+                            flush()
+                        close(k)
+                        break
+                    if tag in INLINE and stack[k].tag not in INLINE:
+                        break  # a stray end tag doesn't close a block
+            if tag == "p":
+                flush()
+            elif tag == "br":
+                add(" ")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            path = f"{stack[-1].path}/{tag}"
+            path = _key("path", str(stack[-1].path), tag)
             seen[path] = seen.get(path, 0) + 1
-            at = close.end() if close else n
+            ends = _RAW_END[tag].search(page, at)
+            at = ends.end() if ends else n
             continue
         if tag == "br":
             add(" ")
@@ -154,16 +164,17 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool, int]], dict[str,
             flush()
             if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option", "tbody", "thead"):
                 peers = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p" and tag in CLOSES_P or stack[k].tag in peers:
-                        del stack[k:]
-                        break
-                    if stack[k].tag not in INLINE and stack[k].tag != "p":
-                        break
+                if any(map(opened.get, peers)) or opened.get("p") and tag in CLOSES_P:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].tag == "p" and tag in CLOSES_P or stack[k].tag in peers:
+                            close(k)
+                            break
+                        if stack[k].tag not in INLINE and stack[k].tag != "p":
+                            break
         frame = _open(stack[-1], tag, attrs)
         seen[frame.path] = seen.get(frame.path, 0) + 1
-        if len(stack) < 512:
-            stack.append(frame)
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(frame)
     flush()
     return blocks, seen
 
@@ -185,12 +196,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, seen = parse(text or "")
             of: dict[int, list[int]] = {0: [1, 0, 0, 0]}
             for path, k in seen.items():
-                of[_key("path", path)] = [k, 0, 0, 1]
-            for path, block, _, _, links in blocks:
-                slot = of.setdefault(_key("path", path), [1, 0, 0, 1])
+                of[path] = [k, 0, 0, 1]
+            for frame, block, _, _, links in blocks:
+                slot = of.setdefault(frame.path, [1, 0, 0, 1])
                 slot[1] += len(block)
                 slot[2] += links
-                of.setdefault(_key("text", path, block), [0, 0, 0, 0])[0] += 1
+                of.setdefault(_key("text", str(frame.path), block), [0, 0, 0, 0])[0] += 1
             for r, (k, c, ln, element) in of.items():
                 for col, x in zip(cols, (h, r, k, own, c, ln, element, weight), strict=True):
                     col.append(x)
@@ -228,8 +239,8 @@ def classes(tokens: DataFrame) -> DataFrame:
     low = lambda salt: F.sum(F.xxhash64(F.lit(salt), "page", "times").bitwiseAND(F.lit(0x7FFFFFFF)))
     by = tokens.groupBy("host", "role").agg(F.round(F.sum("weight")).cast("long").alias("n"), low(1).alias("v1"), low(2).alias("v2"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("element").alias("element"))
     by = cut(by)  # read three times below, parsed once
-    of_host = by.filter("role = 0").select("host", F.col("n").alias("pages"))
-    kept = by.filter("role != 0").join(of_host, "host").filter((F.col("n") >= LEAST_PAGES) | (F.col("n") == F.col("pages")))
+    of_host = by.filter("role = 0").filter(F.col("n") >= LEAST_PAGES).select("host", F.col("n").alias("pages"))
+    kept = by.filter("role != 0").filter(F.col("n") >= LEAST_PAGES).join(of_host, "host")
     vector = F.xxhash64("v1", "v2")
     kept = kept.select("host", "role", "pages", "n", vector.alias("vector"), "element", (F.col("linked") / F.greatest(F.col("chars"), F.lit(1))).alias("links"))
     sizes = kept.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("element").alias("framed"))
@@ -246,43 +257,55 @@ class Template:
         self.tokens = {e["role"]: e["links"] for e in entries}
         self.unsure = {e["role"] for e in entries if not e["sure"]}
 
-    def slot(self, path: str) -> str:
-        """The innermost template element around a block: classes nest as their paths do."""
-        while path and _key("path", path) not in self.tokens:
-            path = path[: path.rfind("/")] if "[" not in path else re.sub(r"/[^/\[\]]*(?:\[[^\]]*\])?$", "", path)
-        return path
+    def slot(self, frame: Frame) -> Frame | None:
+        """The innermost template element around a block, if any: classes nest as their elements do."""
+        while frame is not None and frame.path not in self.tokens:
+            frame = frame.above
+        return frame
 
 
-def main_text(blocks: list[tuple[str, str, bool, bool, int]], template: Template) -> str:
+def main_text(blocks: list[Block], template: Template) -> str:
     """What the template leaves: blocks of the main slots, joined by a blank line.
 
     Template text and slots of links go, inside a main part too.  Blocks outside of the main part of a page stay only
     if the template has their very slot, as one whose text is the page's own.  Elements and marks that say they are
     beside the text are believed.  A page whose text would mostly go by unsure classes is a near copy and keeps it.
+    Without a template a page's own elements are its slots.
     """
     framed = any(main and not side for _, _, side, main, _ in blocks)
     told = template.pages >= LEAST_PAGES
+    own: dict[int, list[int]] = {}
+    for frame, text, _, _, links in blocks if not told else ():
+        sums = own.setdefault(frame.path, [0, 0])
+        sums[0] += len(text)
+        sums[1] += links
+    slots: dict[int, Frame | None] = {}
     left: list[tuple[str, bool]] = []
-    for path, text, side, main, links in blocks:
+    for frame, text, side, main, links in blocks:
         if side:
             continue
-        role = _key("text", path, text)
-        if told and role in template.tokens:
+        role = _key("text", str(frame.path), text)
+        if role in template.tokens:
             if role in template.unsure:
                 left.append((text, True))
             continue
-        if framed and not main and not (told and _key("path", path) in template.tokens):
+        if framed and not main and frame.path not in template.tokens:
             continue
         if links >= LINKED * len(text):
-            slot = template.slot(path)
-            linked = template.tokens[_key("path", slot)] >= LINKED if slot else not main
-            # one page says nothing of a main part's slots, and a heading may well link to the page itself
-            if linked and not (main and (not told or _HEADING.search(path))):
+            if not told:  # one page says nothing of a main part's slots
+                linked = not main and own[frame.path][1] >= LINKED * own[frame.path][0]
+            else:
+                if frame.path not in slots:
+                    slots[frame.path] = template.slot(frame)
+                slot = slots[frame.path]
+                linked = template.tokens[slot.path] >= LINKED if slot else not main
+                linked = linked and not (main and frame.tag in HEADINGS)  # a heading may well link to the page itself
+            if linked:
                 continue
         left.append((text, False))
     doubted = sum(len(t) for t, x in left if x)
-    own = sum(len(t) for t, x in left if not x)
-    return "\n\n".join(t for t, x in left if not x or doubted > own)
+    sure = sum(len(t) for t, x in left if not x)
+    return "\n\n".join(t for t, x in left if not x or doubted > sure)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,13 +334,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     grouped = found.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(entry).alias("template"))
     if (total or 0) <= BROADCAST_TOKENS:
         both = src.join(F.broadcast(cut(grouped)), "host", "left")
-    elif largest <= HOST_TOKENS:  # a page draws one of as many parts as the largest host needs
-        parts = F.ceil(F.col("pages") / PART_PAGES).cast("int")
-        deduced = cut(grouped)
-        most = deduced.agg(F.max(parts)).first()[0]
-        drawn = F.pmod(F.xxhash64("page_id", "__url", "__html"), F.lit(most))
-        dealt = deduced.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-        both = src.withColumn("part", drawn).join(dealt, ["host", "part"], "left")
+    elif largest <= HOST_TOKENS:  # a page draws one of as many parts as its host needs
+        deduced = cut(grouped.withColumn("parts", F.ceil(F.col("pages") / PART_PAGES).cast("int")))
+        large = cut(deduced.filter("parts > 1").select("host", "parts"))  # one host for PART_PAGES pages at most
+        drawn = F.pmod(F.xxhash64("page_id", "__url", "__html"), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt = deduced.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        few = F.broadcast(large) if large.count() <= BROADCAST_COPIES else large
+        both = src.join(few, "host", "left").withColumn("part", drawn).drop("parts").join(dealt, ["host", "part"], "left")
     else:  # a template too large for a row: every page meets the tokens that it has itself, which decide alike
         has = pages_.mapInArrow(_tokens, _TOKENS).select("host", "role", "page").distinct()
         own = has.join(found, ["host", "role"]).groupBy("page").agg(F.max("pages").alias("pages"), F.collect_list(entry).alias("template"))

@@ -111,6 +111,31 @@ def test_template_by_distinct_pages_of_each_layout(spark, monkeypatch, tokens, m
     assert all(got[50 + k] == f"A long paragraph of the story.\n\nAnd a further long one.\n\nEdit {k}" for k in range(4))
 
 
+def test_marks_with_brackets_and_slashes(spark):
+    row = "<body><div class='md:w-[50%] a/b[c'><ul><li><a href=1>One {0}</a></li><li><a href=2>Two</a></li></ul></div><div class='p-[2px'><p>Story {0} tells <a href=3>of</a> it.</p></div></body>"
+    got = texts(spark, [(k, "http://h.example/", row.format(f"no{k}")) for k in range(6)])
+    assert got == {k: f"Story no{k} tells of it." for k in range(6)}
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 2000 + "<nav><a href=x>Menu</a></nav><article><p>Deep text.</p></article>" + "</div>" * 2000
+    assert html.main_text(html.parse(deep)[0], html.Template(0, [])) == "Deep text."
+    import time
+
+    began = time.time()
+    long = "<article><p>" + "<b>a</b> " * 100_000 + "</p></article>"
+    assert html.main_text(html.parse(long)[0], html.Template(0, [])) == " ".join("a" * 100_000)
+    nested = "<b>x " * 20_000 + "</i>" * 20_000 + "</b>" * 20_000
+    assert html.main_text(html.parse(nested)[0], html.Template(0, [])) == " ".join("x" * 20_000)
+    assert time.time() - began < 20
+
+
+def test_hosts_of_few_pages_are_read_by_their_own_elements(spark):
+    row = "<body><ul><li><a href=1>Menu one</a></li></ul><div><p>Story {0} tells of it.</p><p>All of it.</p></div></body>"
+    got = texts(spark, [(k, f"http://h{n}.example/", row.format(k)) for n in (1, 2, 3) for k in range(10 * n, 10 * n + n)])
+    assert got == {k: f"Story {k} tells of it.\n\nAll of it." for k in (10, 20, 21, 30, 31, 32)}
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
