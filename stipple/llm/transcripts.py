@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from stipple.llm.common import prepare, table
+from stipple.llm.common import cut, prepare, table
 
 ROLES = ("system", "user", "assistant")
 #: States: a role's first line and its further lines.
@@ -29,8 +30,6 @@ _MARKER = re.compile(r"^\s*(?:[#*>\-\[(<|_]{0,4}\s*)(?:im_start\|>\s*)?([A-Za-z]
 
 #: Numbers of values of the features: marker (none, three roles), place (first line, after a blank line, other), length, last character.
 SIZES = (4, 3, 12, 4)
-#: Turns of one conversation that are parsed as one transcript; a longer one is parsed in pages of so many turns.
-PAGE_TURNS = 1024
 #: Training turns have their role beside the text, not marked in it, so this share of first lines is taken to be marked;
 #: a line with another role's marker, or a further line with one, is as rare as one in so many.
 MARKED, STRAY = 0.5, 10_000
@@ -88,21 +87,41 @@ class Model:
         at = np.array(rows)
         return sum(e[:, at[:, k]].T for k, e in enumerate(self.emit))
 
-    def viterbi(self, rows: list[tuple[int, ...]]) -> list[int]:
-        """The likeliest states; of equal ones the first in STATES."""
+    def viterbi(self, rows: list[tuple[int, ...]], before: np.ndarray | None = None, last: int | None = None) -> list[int]:
+        """The likeliest states; of equal ones the first in STATES.
+
+        For a stretch of a transcript: ``before`` has the score of each state on the line before it, ``last`` is the
+        state of its last line.
+        """
         if not rows:
             return []
         e = self.scores(rows)
-        best, back = self.start + e[0], []
+        best, back = (self.start if before is None else (before[:, None] + self.step).max(0)) + e[0], []
         for x in e[1:]:
             way = best[:, None] + self.step
             back.append(way.argmax(0))
             best = way.max(0) + x
-        out = [int(best.argmax())]
+        out = [int(best.argmax()) if last is None else last]
         for b in reversed(back):
             out.append(int(b[out[-1]]))
         return out[::-1]
 
+    def across(self, rows: list[tuple[int, ...]]) -> np.ndarray:
+        """The best score of a stretch for each state before it (down) and each of its last line (across)."""
+        s = len(STATES)
+        out = np.where(np.eye(s, dtype=bool), 0.0, -np.inf)
+        for x in self.scores(rows) if rows else ():
+            out = (out[:, :, None] + self.step[None]).max(1) + x
+        return out
+
+    def begun(self, rows: list[tuple[int, ...]]) -> np.ndarray:
+        """The best score of a stretch that begins a transcript, for each state of its last line."""
+        e = self.scores(rows)
+        best = self.start + e[0]
+        for x in e[1:]:
+            best = (best[:, None] + self.step).max(0) + x
+        return best
+
 
 def parse(transcript: str | None, model: Model) -> list[tuple[str, str]]:
     """Turns (role, text without its marker) of a transcript; null or blank: none."""
@@ -164,10 +183,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for turn, role, text in zip(*(b.column(c).to_pylist() for c in ("turn", "role", "text")), strict=True):
-            r, lines = ROLES.index(role), [x for x in (text or "").split("\n") if x.strip()]
-            for i, line in enumerate(lines):
+            r = ROLES.index(role)
+            for i, (line, place) in enumerate(lines_of(text or "")):
                 state = 2 * r + (i > 0)
-                for k, v in enumerate(features(line, 2 if i else 1 if turn else 0)):
+                for k, v in enumerate(features(line, place if i else 1 if turn else 0)):
                     add(k, state, v)
                 if i:
                     add(5 if i == 1 else 6, r, 0)
@@ -199,43 +218,149 @@ def held_out(conv: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(5), conv), F.lit(5)) == 0
 
 
+Turns = list[tuple[int | None, str | None]]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, Turns]]:
+    """(page, conversation, its turns on the page), from rows sorted by these."""
+    now, turns = None, []
+    for b in batches:
+        for page, conv, turn, text in zip(*(b.column(c).to_pylist() for c in ("page", "conv", "turn", "text")), strict=True):
+            if (page, conv) != now:
+                if now:
+                    yield *now, turns
+                now, turns = (page, conv), []
+            turns.append((turn, text))
+    if now:
+        yield *now, turns
+
+
+def _rows(turns: Turns, first: bool) -> tuple[list[tuple[int, ...]], list[list[str]]]:
+    """Features of the lines of turns that are parted by blank lines, and the lines of each turn.  first: none before."""
+    rows, own = [], []
+    for _, text in turns:
+        lines = lines_of(text or "")
+        own.append([x for x, _ in lines])
+        rows += [features(x, place if i else 0 if first and not rows else 1) for i, (x, place) in enumerate(lines)]
+    return rows, own
+
+
+def _chained(edges: list[dict], model: Model) -> dict[tuple[int, object], tuple[bool, np.ndarray | None, int | None]]:
+    """For stretches of conversations on several pages: whether lines come before, their scores, and the last state.
+
+    edges: the first and last stretch of every page, in order.  Scores are carried forward through the stretches, then
+    states backward, so that the path is the one that is likeliest for the whole conversation.
+    """
+    out: dict[tuple[int, object], tuple[bool, np.ndarray | None, int | None]] = {}
+    at = 0
+    while at < len(edges):
+        end = at + 1
+        while end < len(edges) and edges[end]["conv"] == edges[at]["conv"] and edges[end]["page"] != edges[end - 1]["page"]:
+            end += 1
+        before, scores = [], None
+        for e in edges[at:end] if end - at > 1 else ():
+            before.append(scores)
+            if e["begun"]:
+                scores = np.array(e["begun"]) if scores is None else (scores[:, None] + np.array(e["across"]).reshape(len(STATES), -1)).max(0)
+        state = None if scores is None else int(scores.argmax())
+        for e, own in reversed(list(zip(edges[at:end], before, strict=False))):
+            out[e["page"], e["conv"]] = own is not None, own, state
+            if e["begun"] and own is not None:
+                state = int((own + np.array(e["across"]).reshape(len(STATES), -1)[:, state]).argmax())
+        at = end
+    return out
+
+
 def recover_roles(conversations: DataFrame, model: Model) -> DataFrame:
     """Roles of labelled conversations (conv_id, turn, role, text) as their unmarked transcripts show them.
 
-    A conversation's turns, in order and parted by blank lines, make its transcript: the column ``role`` is not read.
-    Returns one row for each distinct turn: ``conv_id``, ``turn``, ``n_lines`` long, ``recovered`` (the role of the
-    turn's first line, null if it has none), ``rendered`` (null likewise) and ``held_out`` boolean.  Repeated turns
-    (same conversation, number and text) count once; turns of one number follow each other by their text; a null
-    number comes first, a null text has no lines, and turns without a conversation form one.  A conversation of more
-    than PAGE_TURNS turns is parsed in pages by turn number, so that no group is unbounded.
+    A conversation's turns, in order and parted by blank lines, make its transcript: the column ``role`` is not read,
+    and borders of turns are not given.  Returns one row for each distinct turn: ``conv_id``, ``turn``, ``n_lines``
+    long, ``recovered`` (the decoded role of its first line, null if it has none), ``n_turns`` long (turns that the
+    parser begins among its lines, 1 if it is right), ``rendered`` (these in canonical form, without their markers,
+    and null without lines) and ``held_out`` boolean.  Repeated turns (same conversation, number and text) count once;
+    turns of one number follow each other by a hash of their text, then by it; a null number comes first, a null text
+    has no lines, and turns without a conversation form one.  An empty table gives none.
+
+    Turns are dealt by ranges of (conversation, number, hash), so that a long conversation lies on several pages.  Each
+    page gives the best scores through its first and last conversation, from every state to every state; the driver
+    chains these (two rows a page), and pages are decoded with what comes before and after them: nothing depends on
+    where pages are cut.
     """
-    prepare(conversations.sparkSession)
+    spark = conversations.sparkSession
+    prepare(spark)
     src = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text")).distinct()
-    page = F.floor(F.coalesce("turn", F.lit(0)) / PAGE_TURNS)
-    pages = src.groupBy("conv", page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    order = ["conv", "turn", "hash"]
+    pages = cut(src.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).withColumn("page", F.spark_partition_id()))
+    kind = src.schema["conv"].dataType.simpleString()
+    sorted_ = pages.repartition("page").sortWithinPartitions("page", *order, "text").select("page", "conv", "turn", "text")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, object, list, list]] = []
+        page = None
+
+        def told(p: int, conv: object, turns: Turns) -> tuple[int, object, list, list]:
+            rows = _rows(turns, False)[0]
+            return p, conv, model.begun(_rows(turns, True)[0]).tolist() if rows else [], model.across(rows).ravel().tolist()
+
+        last = None
+        for p, conv, turns in _stretches(batches):
+            if p != page:
+                held += [told(*last)] if last else []
+                held.append(told(p, conv, turns))
+                page, last = p, None
+            else:
+                last = (p, conv, turns)
+        held += [told(*last)] if last else []
+        kinds = (pa.int32(), of_conv, pa.list_(pa.float64()), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)], names=["page", "conv", "begun", "across"])
+
+    of_conv = to_arrow_type(src.schema["conv"].dataType)
+    found = [r.asDict() for r in sorted_.mapInArrow(edges, f"page int, conv {kind}, begun array<double>, across array<double>").collect()]
+    seen: dict[int, list[dict]] = {}
+    for e in found:  # the first stretch of a page was told before its last
+        seen.setdefault(e["page"], []).append(e)
+    chained = _chained([e for p in sorted(seen) for e in seen[p]], model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            take, turn, n, role, shown = [], [], [], [], []
-            for i, turns in enumerate(b.column("turns").to_pylist()):
-                rows, cut = [], []
-                for t in turns:
-                    own = [x for x in (t["text"] or "").split("\n") if x.strip()]
-                    cut.append(len(own))
-                    rows += [features(x, 2 if k else 1 if rows else 0) for k, x in enumerate(own)]
-                states, at = model.viterbi(rows), 0
-                for t, k in zip(turns, cut, strict=True):
-                    r = ROLES[states[at] // 2] if k else None
-                    take.append(i), turn.append(t["turn"]), n.append(k), role.append(r), shown.append(render(r, t["text"].strip()) if r else None)
-                    at += k
-            yield pa.RecordBatch.from_arrays([b.column("conv").take(pa.array(take, pa.int64())), pa.array(turn, pa.int64()), pa.array(n, pa.int64()), pa.array(role, pa.string()), pa.array(shown, pa.string())], names=["conv_id", "turn", "n_lines", "recovered", "rendered"])
-
-    out = pages.mapInArrow(run, f"conv_id {src.schema['conv'].dataType.simpleString()}, turn long, n_lines long, recovered string, rendered string")
+        convs, number, n, role, begins, shown = [], [], [], [], [], []
+        size = 0
+        names = ["conv_id", "turn", "n_lines", "recovered", "n_turns", "rendered"]
+        kinds = (of_conv, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+
+        def out() -> pa.RecordBatch:
+            cols = (convs, number, n, role, begins, shown)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            for c in cols:
+                c.clear()
+            return batch
+
+        for page, conv, turns in _stretches(batches):
+            later, before, last = chained.get((page, conv), (False, None, None))
+            rows, lines = _rows(turns, not later)
+            states, at = model.viterbi(rows, before, last), 0
+            for (turn, _), own in zip(turns, lines, strict=True):
+                now = states[at : at + len(own)]
+                at += len(own)
+                parts: list[tuple[str, list[str]]] = []
+                for k, (line, state) in enumerate(zip(own, now, strict=True)):
+                    if state % 2 == 0 or not k:
+                        parts.append((ROLES[state // 2], []))
+                    parts[-1][1].append(marker(line)[1] if state % 2 == 0 else line)
+                convs.append(conv), number.append(turn), n.append(len(own)), role.append(parts[0][0] if own else None)
+                begins.append(sum(x % 2 == 0 for x in now)), shown.append("\n".join(render(r, "\n".join(x).strip()) for r, x in parts) if own else None)
+                size += len(shown[-1] or "")
+            if size > 4 << 20:
+                yield out()
+                size = 0
+        yield out()
+
+    out = sorted_.mapInArrow(run, f"conv_id {kind}, turn long, n_lines long, recovered string, n_turns long, rendered string")
     return out.withColumn("held_out", held_out(F.col("conv_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: roles and canonical form of every turn of `conversations`, from unmarked transcripts."""
+    """op7: roles and canonical form of every turn of `conversations`, from unmarked transcripts without given borders."""
     rows = table(spark, sf_dir, "conversations")
     labelled = rows.select(F.col("conv_id").alias("conv"), "turn", "role", "text").filter(~held_out(F.col("conv")))
     return recover_roles(rows, train(labelled))

@@ -168,8 +168,42 @@ def test_roles_of_held_out_conversations(spark):
     assert len(got) > 50 and sum(r[0] == r[1] for r in got) > 0.9 * len(got)
 
 
-def test_awkward_conversations(spark, model, monkeypatch):
-    monkeypatch.setattr(transcripts, "PAGE_TURNS", 4)
+def test_turns_of_held_out_conversations_are_found(spark):
+    got = transcripts.query(spark, "/root/testdata/sf0.01").filter("held_out and n_lines > 0").collect()
+    assert sum(r["n_turns"] == 1 for r in got) > 0.9 * len(got)
+
+
+def test_long_conversations_as_on_one_page(spark, model):
+    import random
+
+    rng = random.Random(8)
+    text = lambda: "\n".join(rng.choice(["", "\n"]) + "So " * rng.randrange(1, 40) + rng.choice("?.,") for _ in range(rng.randrange(0, 4)))
+    rows = [(c, t, "user", text()) for c, n in ((1, 1500), (None, 700), (2, 3), (3, 1)) for t in range(n)]
+    rows += [(4, None, None, text()) for _ in range(600)]  # no numbers at all
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = []
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(str, transcripts.recover_roles(df, model).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert got[0] == got[1] and len(got[0]) >= 2204
+    # and as the whole transcript says
+    whole = {t: [] for t in range(1500)}
+    lines = [(t, x, p) for c, t, _, own in rows if c == 1 for x, p in [(x, (p if i else 1)) for i, (x, p) in enumerate(transcripts.lines_of(own))]]
+    lines[0] = (lines[0][0], lines[0][1], 0)
+    for (t, _, _), state in zip(lines, model.viterbi([transcripts.features(x, p) for _, x, p in lines]), strict=True):
+        whole[t].append(state)
+    found = {r["turn"]: r for r in transcripts.recover_roles(df, model).filter("conv_id = 1").collect()}
+    assert all(found[t]["n_turns"] == sum(x % 2 == 0 for x in s) and found[t]["recovered"] == (transcripts.ROLES[s[0] // 2] if s else None) for t, s in whole.items())
+
+
+def test_awkward_conversations(spark, model):
     rows = [(1, t, "user", "What is it then? " * 10 if t % 2 == 0 else "It is so. " * 100, "y") for t in range(11)]
     rows += [(2, 0, None, None, "y"), (2, 0, None, None, "y"), (3, None, "odd", "", "y"), (None, 1, "user", "a\nb", "y"), (4, 0, "user", "same turn", "y"), (4, 0, "user", "another", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, recovered string")
