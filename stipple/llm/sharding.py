@@ -13,10 +13,12 @@ from pyspark.sql.window import Window
 
 from stipple.llm.common import cut, table
 
-#: The finest source partitions (and slot ranges of a shard); counts of these, and no more, reach the driver.
-FINE_BITS = 12
-#: Rows that a source partition, or a slot range, should hold at least on average.
-ROWS_EACH = 2_000
+#: Numbers of the matrix at most: source partitions times shards.
+MATRIX = 1 << 20
+#: Source partitions at most; of more, Spark joins neighbours without moving rows.
+PARTITIONS = 1 << 12
+#: Rows that a range of a shard's slots should hold on average, and the bits of the number of such ranges.
+ROWS_EACH, RANGE_BITS = 100_000, 16
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -66,54 +68,39 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 17) -> DataFra
 
     Returns the input's columns with ``shard`` int (0 to shards - 1) and ``slot`` long (the place in the shard,
     gapless from 0).  Shard sizes differ by one at most (law ``rows``).  An input column of one of these two names is
-    replaced.  Nulls in any column, ties and repeated rows are dealt like other rows: each row draws its place from a
-    hash of its content and its number among the rows read, so that equal rows part too.  An empty table gives none.
-
-    1. Each row gets a random 63-bit key; the rows are written to the shared checkpoint folder, so keys never change.
-    2. Source partitions are ranges of the key.  The driver gets their counts (4,096 at most) and draws the matrix.
-    3. Local permutation: rows of a partition, ordered by the key, are cut by the partition's row of the matrix.
-    4. Exchange by (shard, range of a second key); second permutation: the order of that second key.
+    replaced, others stay whatever their names.  Nulls in any column, ties and repeated rows are dealt like other
+    rows: each row draws its place from a hash of its number among the rows read.  An empty table gives none.
+
+    1. Local permutation: every source partition, as it lies, is sorted by a random key and written to the shared
+       checkpoint folder with the partition's number and each row's place, so that these never change.
+    2. The driver gets the partitions' counts and draws the matrix: how many rows of each go to each shard.
+    3. A partition's places are cut by its row of the matrix; the one exchange moves rows to (shard, range of a second
+       random key).
+    4. Permutation of what arrived: the order of the second key gives the slots.
     """
     if not 1 <= shards <= 1 << 16:
         raise ValueError("shards must be from 1 to 65536")
-    fine = 1 << FINE_BITS
     plain = rows.drop("shard", "slot")
-    # The row's number is fixed with the checkpoint; the hash of the content alone would leave copies side by side.
-    salt = F.monotonically_increasing_id()
-    keyed = cut(plain.withColumn("__key", F.xxhash64(F.lit(seed), salt, *[F.col(f"`{c}`") for c, t in plain.dtypes if "map" not in t])))
-    part = F.shiftrightunsigned("__key", 64 - FINE_BITS).cast("int")
-    counted = {r["p"]: r["n"] for r in keyed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counted.values())
-    merged = 0  # so many of the key's leading bits are given up, to make partitions of a fair size
-    while merged < FINE_BITS and total / (fine >> merged) < ROWS_EACH:
-        merged += 1
-    merged = min(merged, FINE_BITS - 6)
-    parts = fine >> merged
-    counts = [sum(counted.get(p << merged | i, 0) for i in range(1 << merged)) for p in range(parts)]
-    dealt = matrix(counts, shards, seed)
-    # parts x shards numbers, 4,096 x shards at most: small enough to broadcast by its bound.
-    spark = rows.sparkSession
-    ends = spark.createDataFrame([(p, list(itertools.accumulate(row))) for p, row in enumerate(dealt)], "__p int, __ends array<long>")
-    own = Window.partitionBy("__p").orderBy("__key", "__second")
-    placed = (
-        keyed.withColumn("__p", F.shiftright(part, merged))
-        .withColumn("__second", F.xxhash64(F.lit(seed + 1), "__key"))
-        .withColumn("__n", F.row_number().over(own).cast("long"))
-        .join(F.broadcast(ends), "__p")
-        .withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__n"))).cast("int"))
-    )
-    bits = min(FINE_BITS, max(0, math.ceil(math.log2(max(1, total / shards / ROWS_EACH)))))
-    placed = cut(placed.drop("__p", "__n", "__ends", "__key").withColumn("__r", F.shiftrightunsigned("__second", 63 - bits).cast("long") if bits else F.lit(0).cast("long")))
-    # Counts of (shard, range): shards x 4,096 rows at most; the ranges before give each range its first slot.
-    before = Window.partitionBy("shard").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    first = placed.groupBy("shard", "__r").agg(F.count(F.lit(1)).alias("__c")).withColumn("__first", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    again = Window.partitionBy("shard", "__r").orderBy("__second")
-    return (
-        placed.withColumn("__k", F.row_number().over(again) - 1)
-        .join(F.broadcast(first), ["shard", "__r"])
-        .withColumn("slot", F.col("__first") + F.col("__k"))
-        .select(*[F.col(f"`{c}`") for c in plain.columns], "shard", "slot")
-    )
+    drawn = plain.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("kept"), F.monotonically_increasing_id().alias("number"))
+    drawn = drawn.coalesce(max(1, min(PARTITIONS, MATRIX // shards)))
+    drawn = drawn.select("kept", F.xxhash64(F.lit(seed), "number").alias("key"), F.xxhash64(F.lit(seed + 1), "number").alias("second"))
+    at = F.monotonically_increasing_id()
+    own = cut(drawn.sortWithinPartitions("key", "second").select("kept", "second", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    counts = {r["part"]: r["n"] for r in own.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, parts = sum(counts.values()), sorted(counts)
+    dealt = matrix([counts[p] for p in parts], shards, seed)
+    # MATRIX numbers at most: small enough to broadcast by its bound.
+    ends = rows.sparkSession.createDataFrame([(p, list(itertools.accumulate(row))) for p, row in zip(parts, dealt, strict=True)], "part int, ends array<long>")
+    bits = min(RANGE_BITS, max(0, math.ceil(math.log2(max(1, total / shards / ROWS_EACH)))))
+    range_ = F.shiftrightunsigned("second", 64 - bits).cast("int") if bits else F.lit(0)
+    placed = own.join(F.broadcast(ends), "part").select("kept", "second", "part", "place", F.size(F.filter("ends", lambda e: e <= F.col("place"))).cast("int").alias("shard"), range_.alias("range"))
+    # Counts of (shard, range) give each range its first slot: shards x 2^bits rows, one for ROWS_EACH rows of the table.
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n")).select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    first = F.broadcast(first) if shards << bits <= MATRIX else first
+    again = Window.partitionBy("shard", "range").orderBy("second", "part", "place")
+    out = placed.withColumn("slot", F.row_number().over(again) - 1).join(first, ["shard", "range"])
+    return out.select("kept.*", "shard", (F.col("first") + F.col("slot")).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,29 @@ def test_sharding_is_exact_and_uniform(spark, docs):
     assert (parts.sum(0) == 10_000).all() and abs(parts - 2500).max() < 250
 
 
+def test_sharding_with_any_names_and_one_exchange_of_rows(spark):
+    df = spark.range(0, 3000, 1, 7).selectExpr("id `__key`", "if(id % 3 = 0, null, 'x') `__n`", "id % 2 `__r`", "id part", "id place", "id second", "id kept", "array(id) `a.b`", "id shard")
+    out = sharding.shuffle_into_shards(df, 3)
+    rows = out.collect()
+    assert out.columns == ["__key", "__n", "__r", "part", "place", "second", "kept", "a.b", "shard", "slot"]
+    assert sorted(r["__key"] for r in rows) == list(range(3000)) and all(r["kept"] == r["__key"] == r["a.b"][0] for r in rows)
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(3) for k in range(1000)]
+    plan = sharding.shuffle_into_shards(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert plan.count("Exchange hashpartitioning") == 3  # the rows, once; the other two move counts
+    # each source partition's rows are spread over the shards as drawn, and neighbours part
+    slots = {r["__key"]: (r["shard"], r["slot"]) for r in rows}
+    assert abs(np.corrcoef([slots[k][1] for k in range(3000)], range(3000))[0, 1]) < 0.08
+    assert abs(sum(slots[k][0] == slots[k + 1][0] for k in range(2999)) / 2999 - 1 / 3) < 0.05
+
+
+def test_sharding_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_EACH", 50)
+    monkeypatch.setattr(sharding, "MATRIX", 12)
+    rows = sharding.shuffle_into_shards(spark.range(0, 2001, 1, 9), 4).collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(4) for k in range(500 + (s == 0))]
+
+
 def test_hypergeometric_draws():
     rng = random.Random(3)
     draws = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(20_000)]
