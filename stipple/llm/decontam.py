@@ -10,12 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm.common import finish, gathered, prepare, table
+from stipple.llm.common import cut, drop, finish, gathered, prepare, table
 
 #: Edits of words that a passage may have, as a share of the item's words (rounded down).
 EDITS = 0.2
-#: Repetitions of the embedding, and sampled places in each: chosen for a recall of 0.99 at the most edits.
-REPEATS, SAMPLED = 16, 2
+#: Repetitions of the embedding, and sampled places in each: chosen for a recall of 0.95 at the most edits of any kind,
+#: at any place and up to 60 words; with fewer edits or mixed ones it is 0.99 and more.
+REPEATS, SAMPLED = 24, 2
 #: Items that one pass over the documents looks for; more take more passes.
 BLOCK_ITEMS = 10_000
 #: Bytes of text that are looked through at once, if a single Arrow batch doesn't hold more.
@@ -164,6 +165,7 @@ class Items:
         which = np.minimum(np.searchsorted(self.pairs, pair[at]), len(self.pairs) - 1)
         known = self.pairs[which] == pair[at]
         at, which = at[known], which[known]
+        firsts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         for c, length in enumerate(self.lengths):
             need = max(1, length - 1 - 2 * allowed(length))
             hits = at[self.of_length[which, c]]
@@ -183,6 +185,17 @@ class Items:
             windows = w[np.minimum(starts[:, None] + np.arange(length), len(w) - 1)]
             windows[np.arange(length) >= left[:, None]] = 0
             self._meet(length, starts, windows, out)
+            # a passage that lacks words is mostly met by windows that start before it; at a text's start these are padded
+            begun = firsts[np.searchsorted(hits, firsts + length - 1) - np.searchsorted(hits, firsts) >= need]
+            if len(begun) and allowed(length):
+                size = np.searchsorted(doc, doc[begun], "right") - begun
+                shift = np.tile(np.arange(1, allowed(length) + 1), len(begun))[:, None]
+                begun, size = np.repeat(begun, allowed(length)), np.repeat(size, allowed(length))
+                place = np.arange(length) - shift
+                windows = w[np.clip(begun[:, None] + place, 0, len(w) - 1)]
+                windows[place >= size[:, None]] = 0
+                windows[place < 0] = 1  # any word: at 0 a walk would not move on
+                self._meet(length, begun, windows, out)
         return out
 
     def _meet(self, length: int, starts: np.ndarray, windows: np.ndarray, out: set[tuple[int, int]]) -> None:
@@ -248,7 +261,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     no leaks, null and empty items are in no text; an item of fewer than five words must occur as it is.  Repeated
     rows and items are each judged; an empty table gives none.  Only the named columns are read.
 
-    Items are taken to the driver in blocks of a fixed size and broadcast; each block is a pass over the documents.
+    Items are taken to the driver in blocks of a fixed size and broadcast, one block at a time; each is a pass over the
+    documents, and all passes but the last are written.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -258,6 +272,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"))
     leaks = f"array<struct<item_id:{kind},edits:int,start:int,n_words:int>>"
     out = src.withColumn("leaks", F.lit(None).cast(leaks))
+    before = None
     for block in range(blocks):
         rows = ask.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows]))
@@ -267,12 +282,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
             own = shared.value
             for b in gathered(batches, "text", FIND_BYTES):
                 found = own.find(b.column("text").to_pylist())
-                before = b.column("leaks").to_pylist() if b.column("leaks").null_count < len(b) else [None] * len(b)
-                leaks = [(x or []) + [dict(zip(("item_id", "edits", "start", "n_words"), y, strict=True)) for y in f] for x, f in zip(before, found, strict=True)]
+                known = b.column("leaks").to_pylist() if b.column("leaks").null_count < len(b) else [None] * len(b)
+                leaks = [(x or []) + [dict(zip(("item_id", "edits", "start", "n_words"), y, strict=True)) for y in f] for x, f in zip(known, found, strict=True)]
                 of = {"kept": b.column("kept"), "text": b.column("text"), "leaks": pa.array(leaks, b.schema.field("leaks").type)}
                 yield pa.RecordBatch.from_arrays([of[n] for n in names], names=names)
 
         out = out.mapInArrow(run, ", ".join({"kept": f"kept {src.schema['kept'].dataType.simpleString()}", "text": "text string", "leaks": f"leaks {leaks}"}[n] for n in names))
+        if block < blocks - 1:  # one block at a time: the next begins when this one's items are gone
+            out = cut(out)
+            shared.destroy()
+            if before is not None:
+                drop(before)
+            before = out
     return out
 
 
@@ -283,5 +304,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents without a passage of `benchmark`, unchanged."""
+    """Pipeline: documents without a passage of `benchmark`, unchanged; nulls, repeats and ties as in `find_leaks`."""
     return find_leaks(docs, table(spark, sf_dir, "benchmark"), tuple(docs.columns)).filter(F.size("leaks") == 0).select("kept.*")

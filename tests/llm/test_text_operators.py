@@ -420,6 +420,27 @@ def test_recall_of_passages_that_lack_words(size, how):
     assert met >= 95
 
 
+@pytest.mark.parametrize("kind", ["substituted", "inserted", "deleted", "mixed"])
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+def test_recall_at_the_most_edits(kind, place):
+    rng, met, asked = random.Random(f"{kind} {place}"), 0, 0
+    for size in (10, 20, 45, 60):
+        for _ in range(60):
+            item = [f"i{rng.randrange(5000)}" for _ in range(size)]
+            passage = list(item)
+            for _ in range(decontam.allowed(size)):
+                at, now = rng.randrange(len(passage)), kind if kind != "mixed" else rng.choice(["substituted", "inserted", "deleted"])
+                if now == "deleted":
+                    del passage[at]
+                else:
+                    passage[at : at + (now == "substituted")] = [f"s{rng.randrange(5000)}"]
+            other = lambda there: [f"t{rng.randrange(5000)}" for _ in range(80)] if there else []
+            text = other(place != "start") + passage + other(place != "end")
+            met += bool(decontam.Items([(1, " ".join(item))]).find([" ".join(text)])[0])
+            asked += 1
+    assert met >= 0.95 * asked
+
+
 def test_languages_of_pages(spark, sf):
     import __spark_entry__
 
