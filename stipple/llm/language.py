@@ -23,7 +23,7 @@ TRIGRAMS = 60.0
 PRIOR = 20.0
 #: Below this probability a language counts as not recognised.
 LEAST = 0.5
-#: Hosts whose priors all workers hold; more are joined by the host instead.
+#: Hosts (or declarations, or suffixes) whose numbers all workers hold, those of the most texts; others are joined.
 BROADCAST_HOSTS = 100_000
 _CHUNK = 1 << 20
 
@@ -134,21 +134,32 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
 
     counted = cut(src.select("host", "domain", "suffix", "declared", "text").mapInArrow(verdicts, "host string, domain string, suffix string, declared string, verdict string").filter("verdict is not null").groupBy("host", "domain", "suffix", "declared", "verdict").agg(F.count(F.lit(1)).alias("n")))
 
-    def evidence(name: str) -> dict[str, np.ndarray]:
-        """log P(value | language); values are languages' and suffixes' names, few by their nature."""
-        rows = counted.filter(F.col(name).isNotNull()).groupBy(name, "verdict").agg(F.sum("n").alias("n")).collect()
-        of: dict[str, np.ndarray] = {}
-        for value, lang, n in rows:
-            of.setdefault(value, np.zeros(len(langs)))[langs.index(lang)] += n
-        sums = sum(of.values(), np.zeros(len(langs)))
-        return {v: np.log((n + 1.0) / (sums + len(of) + 1.0)) for v, n in of.items()}
-
-    said, suffixes = evidence("declared"), evidence("suffix")
+    names = F.array(*map(F.lit, langs))
+
+    def evidence(name: str) -> DataFrame:
+        """log P(value | language) of every value: one added to each count, and a value more for those not seen."""
+        rows = counted.filter(F.col(name).isNotNull())
+        sums = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+        of = cut(rows.groupBy(name, "verdict").agg(F.sum("n").alias("n")).groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("of"), F.sum("n").alias("texts")))
+        values = of.count()
+        whole = F.array(*[F.lit(float(sums.get(x, 0) + values + 1)) for x in langs])
+        return of.select(name, "texts", F.zip_with(names, whole, lambda x, total: F.log((F.coalesce(F.col("of")[x], F.lit(0)) + 1.0) / total)).alias(f"{name}_logs"))
+
+    def joined(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        """Rows with what is known of their value; the most frequent values go to all workers, so that none is a hot key."""
+        of = cut(of)
+        few = of if of.count() <= BROADCAST_HOSTS else cut(of.orderBy(F.desc("texts"), name).limit(BROADCAST_HOSTS))
+        wide = [c for c in of.columns if c not in (name, "texts")]
+        if few is of:
+            return rows.join(F.broadcast(of.drop("texts")), name, "left")
+        met = rows.join(F.broadcast(few.select(name, F.lit(True).alias("met"), *wide)), name, "left")
+        rest = met.filter("met is null").drop("met", *wide).join(of.join(F.broadcast(few.select(name)), name, "left_anti").drop("texts"), name, "left")
+        return met.filter("met").drop("met").unionByName(rest)
 
     def level(*by: str) -> DataFrame:
         own = counted.filter(F.col(by[0]).isNotNull()).groupBy(*by, "verdict").agg(F.sum("n").cast("double").alias("n"))
-        of = own.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("of"))
-        return of.select(*by, F.transform(F.array(*map(F.lit, langs)), lambda lang: F.coalesce(F.col("of")[lang], F.lit(0.0))).alias(f"n_{by[0]}"))
+        of = own.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("of"), F.sum("n").alias("texts"))
+        return of.select(*by, *(["texts"] if by[0] == "host" else []), F.transform(names, lambda lang: F.coalesce(F.col("of")[lang], F.lit(0.0))).alias(f"n_{by[0]}"))
 
     def smooth(counts: Column, prior: Column) -> Column:
         total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
@@ -158,25 +169,24 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
     base = np.array([whole.get(x, 0) + 1.0 for x in langs])
     base /= base.sum()
     top = F.array(*map(F.lit, base.tolist()))
-    priors = level("host", "domain", "suffix").join(level("domain", "suffix"), ["domain", "suffix"], "left").join(level("suffix"), "suffix", "left").select("host", smooth(F.col("n_host"), smooth(F.col("n_domain"), smooth(F.col("n_suffix"), top))).alias("prior"))
-    priors = cut(priors)
-    if priors.count() <= BROADCAST_HOSTS:  # a host and a few numbers each
-        priors = F.broadcast(priors)
-    judged = src.select("text", "declared", "host", "suffix", "kept").join(priors, "host", "left")
+    priors = level("host", "domain", "suffix").join(level("domain", "suffix"), ["domain", "suffix"], "left").join(level("suffix"), "suffix", "left").select("host", "texts", smooth(F.col("n_host"), smooth(F.col("n_domain"), smooth(F.col("n_suffix"), top))).alias("prior"))
+    judged = src.select("text", "declared", "host", "suffix", "kept")
+    for name, of in (("host", priors), ("declared", evidence("declared")), ("suffix", evidence("suffix"))):
+        judged = joined(judged, of, name)
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             lang, sure, alone, gone = [], [], [], []
-            for text, d, s, p in zip(*(b.column(c).to_pylist() for c in ("text", "declared", "suffix", "prior")), strict=True):
-                ll = m(text)
+            for text, p, *more in zip(*(b.column(c).to_pylist() for c in ("text", "prior", "declared_logs", "suffix_logs")), strict=True):
                 if not letters(text):
                     lang.append(None), sure.append(None), alone.append(None), gone.append(True)
                     continue
+                ll = m(text)
                 x = ll + np.log(np.array(p) if p else base)
-                for of, value in ((said, d), (suffixes, s)):
-                    if value in of:
-                        x = x + of[value]
+                for logs in more:
+                    if logs:
+                        x = x + np.array(logs)
                 best = int(x.argmax())
                 share = 1.0 / float(np.exp(x - x[best]).sum())
                 alone.append(m.langs[int(ll.argmax())]), sure.append(share), gone.append(share < LEAST)
@@ -220,5 +230,5 @@ def query_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents whose language is recognised, unchanged."""
+    """Pipeline: documents whose language is recognised, unchanged; nulls, ties and repeats as in `identify`."""
     return identify(docs, tuple(docs.columns)).filter("not rejected").select("kept.*")

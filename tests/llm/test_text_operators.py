@@ -335,7 +335,62 @@ def test_language_fuses_what_is_there(spark):
     assert language.identify(df.limit(0), ("id",), "body", "markup", "url", None).count() == 0
 
 
-def test_language_of_held_out_documents(spark, sf):
+def test_language_of_documents_that_were_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    src = language._source(docs, "text", "lang", None, "source", ("doc_id",))
+    model = language.train(src.filter("kept.doc_id % 3 != 0"))
+    rest = src.filter("kept.doc_id % 3 = 0").select("text", "declared").collect()
+    told = [(d, model.langs[int(model(t).argmax())]) for t, d in rest if d and language.letters(t)]
+    assert len(told) > 200 and sum(a == b for a, b in told) > 0.97 * len(told)
+
+
+@pytest.mark.parametrize("hosts", [100_000, 1])
+def test_language_fusion_matches_brute_force(spark, monkeypatch, hosts):
+    monkeypatch.setattr(language, "BROADCAST_HOSTS", hosts)
+    rng = random.Random(12)
+    say = {"en": "the cat sat on the mat with that other thing", "fr": "le chat était sur la table avec des choses", "de": "die katze saß auf dem tisch und schlief nicht"}
+    rows = []
+    for k in range(120):
+        lang = rng.choice(list(say))
+        text = " ".join(rng.sample(say[lang].split(), rng.randrange(1, 6)))
+        url = rng.choice([f"http://{rng.choice('ab')}.x.{lang}/", "http://c.y.org/", "nodots", None])
+        rows.append((k, rng.choice([text] * 9 + [None, "12"]), rng.choice([lang, lang, "en", None]), url))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
+    src = language._source(df, "text", "lang", "url", None, ("doc_id", ))
+    model = language.train(src)
+    facts = [(r["kept"]["doc_id"], r["text"], r["declared"], r["host"], r["domain"], r["suffix"]) for r in src.collect()]
+    spoken = [f for f in facts if language.letters(f[1])]
+    verdict = {f[0]: model.langs[int(model(f[1]).argmax())] for f in spoken}
+
+    def share(key, value, prior):
+        n = Counter(verdict[f[0]] for f in spoken if f[key] == value)
+        return [(n[x] + language.PRIOR * p) / (sum(n.values()) + language.PRIOR) for x, p in zip(model.langs, prior, strict=True)] if n else prior
+
+    n = Counter(verdict.values())
+    base = [(n[x] + 1) / (len(spoken) + len(model.langs)) for x in model.langs]
+    got = {r["kept"]["doc_id"]: r for r in language.identify(df, address_col="url", host_col=None).collect()}
+    assert len(got) == len(rows)
+    for i, text, declared, host, domain, suffix in facts:
+        if not language.letters(text):
+            assert got[i]["rejected"] and got[i]["detected"] is None
+            continue
+        seen = any(f[3] == host for f in spoken) and host
+        levels = share(5, suffix, base) if suffix else base
+        levels = share(4, domain, levels) if domain else levels
+        x = model(text) + np.log(share(3, host, levels) if seen else base)
+        for key, value in ((2, declared), (5, suffix)):
+            known = {f[key] for f in spoken if f[key]}
+            if value in known:
+                for k, lang in enumerate(model.langs):
+                    mine = [f for f in spoken if f[key] and verdict[f[0]] == lang]
+                    x[k] += np.log((sum(f[key] == value for f in mine) + 1) / (len(mine) + len(known) + 1))
+        p = np.exp(x - x.max())
+        p /= p.sum()
+        assert got[i]["posterior"] == pytest.approx(p.max(), abs=1e-9)
+        assert got[i]["detected"] == (model.langs[int(p.argmax())] if p.max() >= language.LEAST else None)
+
+
+def test_language_agrees_with_declarations(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language.identify(docs).select("declared", "text_lang").collect()
     assert sum(r[0] == r[1] for r in out) > 0.97 * len(out)
