@@ -83,6 +83,26 @@ def test_substrings_match_brute_force(docs, monkeypatch, group, grams, passages)
     assert rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256") == windows_oracle(ROWS)
 
 
+@pytest.mark.parametrize("patterns, words_, bits", [(20_000, 200_000, 2), (7, 50, 64), (3, 10**6, 1)])
+def test_automata_locate_what_hashes_only_confirm(monkeypatch, patterns, words_, bits):
+    monkeypatch.setattr(substrings, "PATTERNS", patterns)
+    monkeypatch.setattr(substrings, "WORDS", words_)
+    monkeypatch.setattr(substrings, "WINDOW", 5)
+    whole = substrings.gram_hashes
+    monkeypatch.setattr(substrings, "gram_hashes", lambda w, n: whole(w, n) & np.uint64((1 << bits) - 1))  # many collide
+    rng = random.Random(5)
+    shard, expected, number = substrings.Shard(), set(), 0
+    for g in range(12):
+        group = [(number + k, 7, rng.randrange(50), " ".join(f"{rng.choice("ab")}{g}" for _ in range(rng.randrange(5, 14))).encode()) for k in range(rng.randrange(1, 6))]
+        number += len(group)
+        shard.add(group, False)
+        seen = Counter(tuple(t.split()[i : i + 5]) for *_, t in group for i in range(len(t.split()) - 4))
+        expected |= {(k, s + i + j) for k, _, s, t in group for i in range(len(t.split()) - 4) if seen[tuple(t.split()[i : i + 5])] > 1 for j in range(5)}
+    shard.flush()
+    got = {(r["key"], x) for b in shard.out for r in b.to_pylist() for x in range(r["start"], r["stop"])}
+    assert got == expected and expected
+
+
 def jaccard_oracle(rows):
     sets = []
     for _, t in rows:
