@@ -323,6 +323,7 @@ def tree_oracle(train, text):
 @pytest.mark.parametrize("piece", [8_000_000, 300])
 def test_byte_scores_match_the_definition(spark, monkeypatch, piece):
     monkeypatch.setattr(ctw, "SLICE", piece)
+    monkeypatch.setattr(ctw, "CHUNK", piece // 6)
     rows = [(i, RNG.choice(["abab cabba", "naïve é", "xyz\x00\x00", "", "the cat sat on the mat"]) * RNG.randrange(1, 5)) for i in range(40)]
     train = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
