@@ -10,7 +10,8 @@ from stipple.llm import ann, html, transcripts
 
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_ROWS", 300)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "SAMPLE", 700)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 8)
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((12, 32))
@@ -35,6 +36,22 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert [i for _, _, i in sorted(got[0])] == list(range(700, 710))
 
 
+def test_cells_part_the_space_and_are_left_out(monkeypatch):
+    monkeypatch.setattr(ann, "CELL_SAMPLE", 4)
+    rng = np.random.default_rng(3)
+    centres = 60 * rng.standard_normal((16, ann.PROJECTED))
+    points = centres[rng.integers(0, 16, 4000)] + rng.standard_normal((4000, ann.PROJECTED))
+    cells = ann.Cells(points[:1000], 16)
+    of = cells.of(points)
+    assert len(cells.lows) == 16 and (points >= cells.lows[of]).all() and (points <= cells.highs[of]).all()
+    assert np.bincount(of).max() < 4000 / 4
+    visited = [cells.within(p, 17.0) for p in points[:200]]
+    for p, near in zip(points[:200], visited, strict=True):  # no point within the distance is outside of these cells
+        assert set(of[((points - p) ** 2).sum(1) <= 17.0].tolist()) <= set(near.tolist())
+    assert np.mean([len(x) for x in visited]) < 5
+    assert ann.Cells(np.zeros((50, ann.PROJECTED)), 8).of(points).max() == 0
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 3.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(df, df.filter("vec_id = 1"), 10).select("query_id", "rank", "vec_id", "score").collect()] == [(1, 1, 2, 1.0), (1, 2, 2, 1.0)]
