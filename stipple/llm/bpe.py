@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from stipple.llm.common import column, prepare
 
 #: Distinct pre-tokens in each of the two generations that a worker remembers, about 250 bytes each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _LEAF = 8  # 256 ranks in a leaf word of the bitmap
+_BIT = [1 << k for k in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,45 +31,60 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
     The parts form a linked list.  Each adjacent pair that has a rank sits in the bucket of that rank; a bitmap of
     two levels tells which buckets are filled, and find-first-set on both levels gives the lowest rank.  A bucket's
-    positions are taken from the left; one whose pair has changed since is stale and skipped.  So a pre-token of n
-    bytes costs O(n) queue steps, however long it is.
+    positions are taken from the left (most have one, and are that number itself); one whose pair has changed since is
+    stale and skipped.  A pair of lower rank that a merge makes goes before what is left of the bucket.  So a pre-token
+    of n bytes costs O(n) queue steps, however long it is.
     """
-    whole = ranks.get(piece)
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    get = ranks.get
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts at a position now
-    pair.append(-1)
-    buckets: dict[int, list[int]] = {}
+    after = list(range(1, n + 2))
+    before = list(range(-1, n))
+    pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that starts at a position now
+    pair[-1] = -1
+    buckets: dict[int, int | list[int]] = {}
     leaves: dict[int, int] = {}
     top = 0
     for i, r in enumerate(pair):
         if r >= 0:
             if r in buckets:
-                buckets[r].append(i)
+                old = buckets[r]
+                if old.__class__ is int:
+                    buckets[r] = [old, i]
+                else:
+                    old.append(i)
             else:
-                buckets[r] = [i]
+                buckets[r] = i
                 leaf = r >> _LEAF
-                leaves[leaf] = leaves.get(leaf, 0) | 1 << (r & 255)
-                top |= 1 << leaf
+                if leaf in leaves:
+                    leaves[leaf] |= _BIT[r & 255]
+                else:
+                    leaves[leaf] = _BIT[r & 255]
+                    top |= 1 << leaf
     while top:
         leaf = (top & -top).bit_length() - 1
         bits = leaves[leaf]
         low = bits & -bits
         r = (leaf << _LEAF) + low.bit_length() - 1
-        bits ^= low
-        leaves[leaf] = bits
-        if not bits:
+        if bits == low:
+            del leaves[leaf]
             top ^= 1 << leaf
+        else:
+            leaves[leaf] = bits ^ low
         at = buckets.pop(r)
-        if len(at) > 1:
+        if at.__class__ is int:
+            if pair[at] != r:
+                continue  # stale
+            at = (at,)
+        else:
             at.sort()
-        for done, i in enumerate(at, 1):
+        done = 0
+        for i in at:
+            done += 1
             if pair[i] != r:
-                continue  # stale
+                continue
             j = after[i]
             end = after[j]
             pair[j] = -1
@@ -78,40 +94,55 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 before[end] = i
                 pair[i] = q = get(piece[i : after[end]], -1)
                 if q >= 0:
-                    if q < r:
-                        least = q
                     if q in buckets:
-                        buckets[q].append(i)
+                        old = buckets[q]
+                        if old.__class__ is int:
+                            buckets[q] = [old, i]
+                        else:
+                            old.append(i)
                     else:
-                        buckets[q] = [i]
+                        buckets[q] = i
                         k = q >> _LEAF
-                        leaves[k] = leaves.get(k, 0) | 1 << (q & 255)
-                        top |= 1 << k
+                        if k in leaves:
+                            leaves[k] |= _BIT[q & 255]
+                        else:
+                            leaves[k] = _BIT[q & 255]
+                            top |= 1 << k
+                        if q < r:
+                            least = q
             else:
                 pair[i] = -1
             p = before[i]
             if p >= 0:
                 pair[p] = q = get(piece[p:end], -1)
                 if q >= 0:
-                    if q < least:
-                        least = q
                     if q in buckets:
-                        buckets[q].append(p)
+                        old = buckets[q]
+                        if old.__class__ is int:
+                            buckets[q] = [old, p]
+                        else:
+                            old.append(p)
                     else:
-                        buckets[q] = [p]
+                        buckets[q] = p
                         k = q >> _LEAF
-                        leaves[k] = leaves.get(k, 0) | 1 << (q & 255)
-                        top |= 1 << k
-            if least < r:  # the new pair goes first; the bucket's others wait
+                        if k in leaves:
+                            leaves[k] |= _BIT[q & 255]
+                        else:
+                            leaves[k] = _BIT[q & 255]
+                            top |= 1 << k
+                        if q < least:
+                            least = q
+            if least < r:
                 if done < len(at):
                     buckets[r] = at[done:]
-                    leaves[leaf] |= low
+                    leaves[leaf] = leaves.get(leaf, 0) | low
                     top |= 1 << leaf
                 break
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
@@ -125,7 +156,9 @@ class Codec(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.tokens = {r: t for t, r in ranks.items()}
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, r in ranks.items():
+            self.tokens[r] = t
         self.former: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
