@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch, about.  Texts can be long, so a batch must stay small enough for a Python worker, while
 #: batches of numbers may hold as many rows as the session says.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _BATCH_CONF, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 MULT = 0x9E3779B97F4A7C15

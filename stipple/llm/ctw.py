@@ -17,10 +17,12 @@ from stipple.llm.common import column, cut, drop, lower_words, prepare, sweep, t
 
 #: Bytes of context at the deepest level of the tree, 3 to 6: a run of these and the byte after them fits 63 bits.
 DEPTH = 5
-#: Entries of the byte model that all workers may hold (about 64 bytes each); a larger model is joined with the texts' runs.
+#: Entries of the byte model that all workers may hold (about 50 bytes each); a larger model is joined with the texts' runs.
 SLICE = 4_000_000
 #: Runs that are worked on at once, if those of one context of three bytes are not more.
 CHUNK = 100_000
+#: Distinct runs that a task holds while it gathers them; what it tells is summed up after the shuffle.
+GATHERED = 2_000_000
 #: Words, the most frequent ones, whose counts each worker holds (16 bytes each); others are joined.
 HEAD = 1 << 18
 _WORDS, _RUNS = 0, 1
@@ -73,9 +75,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found:
                 keys, counts = _unique(np.concatenate(found))
                 parts.append((keys, counts if train else np.zeros_like(counts)))
-        if sum(len(k) for k, _ in parts) > 4_000_000:
+        if sum(len(k) for k, _ in parts) > GATHERED:
             parts = [_merged(parts)]
-            if len(parts[0][0]) > 4_000_000:
+            if len(parts[0][0]) > GATHERED // 2:
                 yield out(_RUNS, *parts.pop())
         if len(ws) > 1_000_000:
             yield out(_WORDS, _hashes(list(ws)), np.fromiter(ws.values(), np.int64, len(ws)))
@@ -272,7 +274,7 @@ class Lookup:
         keys = keys.astype(np.uint64)
         rng = np.random.default_rng(8)
         while len(keys):
-            bits = max(8, int(len(keys) * 4 - 1).bit_length())
+            bits = max(8, int(len(keys) * 2 - 1).bit_length())
             mult = np.uint64(int(rng.integers(1 << 40, 1 << 62)) | 1)
             slot = keys * mult >> np.uint64(64 - bits)
             slots, first = np.unique(slot, return_index=True)
