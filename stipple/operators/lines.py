@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stipple.operators.pixels import black_ratio
+
 
 def hough_votes(mask: DataFrame, threshold: int = 80, step: int = 1) -> DataFrame:
     """Votes of set pixels (image_id, x, y) for (degree, distance); those with enough.  Combined before the shuffle."""
@@ -34,7 +36,7 @@ def segment_features(segments: DataFrame, min_length: float = 160) -> DataFrame:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     out = segments.withColumn("length", F.sqrt(dx * dx + dy * dy)).withColumn("angle", F.pmod(F.atan2(dy.cast("double"), dx.cast("double")), F.lit(math.pi))).filter(F.col("length") >= min_length)
     n = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
-    return out.withColumn("__n", n).filter("__n >= 2").drop("__n")
+    return out.select("*", n.alias("n_segments")).filter("n_segments >= 2").drop("n_segments")
 
 
 def families(angles: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -162,52 +164,70 @@ def rect_hits(lines: DataFrame, rects: DataFrame) -> DataFrame:
     return at.select("image_id", "line_id", F.explode(kept).alias("h")).select("image_id", "line_id", F.col("h.ord").alias("ord"), F.col("h.x").alias("x"), F.col("h.y").alias("y"), F.col("h.t").alias("t"))
 
 
-def line_nodes(lines: DataFrame, crossing: DataFrame, hits: DataFrame, min_boundary: float = 10, pad: float = 120, ratio=None, min_black: float = 0.45) -> DataFrame:
+def _dark(pairs: DataFrame, black: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The share of black between the two points of each pair.  black: image_id, x, y and the image's size w, h."""
+    size = black.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
+    return black_ratio(pairs.join(size, "image_id", "left"), black, "w", "h", key=key)
+
+
+def line_nodes(lines: DataFrame, crossing: DataFrame, hits: DataFrame, min_boundary: float = 10, pad: float = 120, black: DataFrame | None = None, min_black: float = 0.45) -> DataFrame:
     """Nodes on each line: crossings, and boundary nodes that pass.
 
-    In the order of hits: on a line with nodes, boundary nodes just added included, a hit must be 10 or more from the
-    nearest along the line (and black between: ratio(x0, y0, x1, y1) as a column gives the share); on a line
-    without, it must lie in the padded extent.  Ids go on counting after the crossings, by line and hit.
+    In the order of hits: on a line with nodes, boundary nodes just added included, a hit must be min_boundary or more
+    from the nearest along the line, with a share of black of min_black or more between them if `black` is given; on a
+    line without, it must lie in the padded extent.  Ids go on counting after the crossings, by line and hit.
     """
     on = crossing.select("image_id", F.explode(F.array(F.struct(F.col("line_a").alias("line_id"), F.col("ta").alias("t")), F.struct(F.col("line_b").alias("line_id"), F.col("tb").alias("t")))).alias("e"), "node_id", "n", "x", "y")
     on = on.select("image_id", F.col("e.line_id").alias("line_id"), "node_id", F.lit("crossing").alias("kind"), "n", "x", "y", F.col("e.t").alias("t"))
+    # a node is known by its code: a crossing by its number, a hit by -1 - its side
     has = on.groupBy("image_id", "line_id").agg(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("t"), F.col("x"), F.col("y")))).alias("c"))
-    has = has.select("image_id", "line_id", F.transform("c", lambda c: F.struct(c["t"].alias("t"), c["x"].alias("x"), c["y"].alias("y"), F.lit(-1).alias("ord"))).alias("own"))
-    todo = hits.groupBy("image_id", "line_id").agg(F.sort_array(F.collect_list(F.struct("ord", "t", "x", "y"))).alias("hits")).select("image_id", "line_id", F.transform("hits", lambda h: F.struct(h["t"].alias("t"), h["x"].alias("x"), h["y"].alias("y"), h["ord"].alias("ord"))).alias("hits"))
+    has = has.select("image_id", "line_id", F.transform("c", lambda c: F.struct(c["t"].alias("t"), c["x"].alias("x"), c["y"].alias("y"), c["n"].cast("long").alias("code"))).alias("own"))
+    code = -1 - F.col("ord").cast("long")
+    todo = hits.groupBy("image_id", "line_id").agg(F.sort_array(F.collect_list(F.struct("ord", "t", "x", "y"))).alias("hits")).select("image_id", "line_id", F.transform("hits", lambda h: F.struct(h["t"].alias("t"), h["x"].alias("x"), h["y"].alias("y"), (-1 - h["ord"].cast("long")).alias("code"))).alias("hits"))
     both = todo.join(has, ["image_id", "line_id"], "left").join(lines.select("image_id", "line_id", "tmin", "tmax"), ["image_id", "line_id"])
+    if black is not None:  # of each hit with all nodes that it may meet: crossings, and hits before it
+        ends = on.select("image_id", "line_id", F.col("n").cast("long").alias("b"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+        ends = ends.unionByName(hits.select("image_id", "line_id", code.alias("b"), F.col("x").alias("x1"), F.col("y").alias("y1")))
+        pairs = hits.select("image_id", "line_id", code.alias("a"), F.col("x").alias("x0"), F.col("y").alias("y0")).join(ends, ["image_id", "line_id"]).filter("b > a")
+        dark = _dark(pairs, black, ("image_id", "line_id", "a", "b"))
+        dark = dark.groupBy("image_id", "line_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), "black_ratio"))).alias("dark"))
+        both = both.join(dark, ["image_id", "line_id"], "left")
     start = F.coalesce("own", F.slice("hits", 1, 0))
 
     def step(seen: Column, h: Column) -> Column:
         gaps = F.transform(seen, lambda s: F.abs(s["t"] - h["t"]))
         near = F.element_at(seen, F.greatest(F.array_position(gaps, F.array_min(gaps)).cast("int"), F.lit(1)))
         far = F.sqrt((near["x"] - h["x"]) ** 2 + (near["y"] - h["y"]) ** 2) >= min_boundary
-        if ratio is not None:
-            far = far & (ratio(near["x"], near["y"], h["x"], h["y"]) >= min_black)
+        if black is not None:
+            far = far & (F.element_at("dark", F.struct(h["code"].alias("a"), near["code"].alias("b"))) >= min_black)
         ok = F.when(F.size(seen) > 0, far).otherwise(h["t"].between(F.col("tmin") - pad, F.col("tmax") + pad))
         return F.when(ok, F.concat(seen, F.array(h))).otherwise(seen)
 
-    done = both.select("image_id", "line_id", F.explode(F.filter(F.aggregate("hits", start, step), lambda s: s["ord"] >= 0)).alias("b"))
+    done = both.select("image_id", "line_id", F.explode(F.filter(F.aggregate("hits", start, step), lambda s: s["code"] < 0)).alias("b"))
     count = crossing.groupBy("image_id").agg(F.count(F.lit(1)).alias("base"))
-    order = F.row_number().over(Window.partitionBy("image_id").orderBy("line_id", "b.ord")) - 1
+    order = F.row_number().over(Window.partitionBy("image_id").orderBy("line_id", F.col("b.code").desc())) - 1
     new = done.join(count, "image_id", "left").withColumn("n", (order + F.coalesce("base", F.lit(0))).cast("long"))
     new = new.select("image_id", "line_id", F.concat(F.lit("B"), F.col("n").cast("string")).alias("node_id"), F.lit("boundary").alias("kind"), "n", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.t").alias("t"))
     return on.unionByName(new)
 
 
-def line_segments(nodes: DataFrame, min_segment: float = 80, ratio=None, min_black: float = 0.45) -> DataFrame:
+def line_segments(nodes: DataFrame, min_segment: float = 80, black: DataFrame | None = None, min_black: float = 0.45, edge_segment: float = 35.0) -> DataFrame:
     """Segments between neighbouring nodes of a line: lead() over the line's order.
 
-    At least min_segment long, or min(35, min_segment) if an end is on the boundary; dark enough if `ratio` gives the
-    share; of one pair of nodes the first; ids S0, S1, ... in line order; lengths rounded to two places.
+    At least min_segment long, or min(edge_segment, min_segment) if an end is on the boundary; with a share of black of
+    min_black or more if `black` is given; of one pair of nodes the first of these; ids S0, S1, ... in line order,
+    without gaps; lengths rounded to two places.
     """
     w = Window.partitionBy("image_id", "line_id").orderBy("t", "n")
     nxt = F.lead(F.struct("node_id", "kind", "x", "y")).over(w)
     pairs = nodes.withColumn("to", nxt).filter("to is not null").withColumn("pos", F.row_number().over(w))
     size = F.sqrt((F.col("x") - F.col("to.x")) ** 2 + (F.col("y") - F.col("to.y")) ** 2)
     edge = (F.col("kind") == "boundary") | (F.col("to.kind") == "boundary")
-    pairs = pairs.withColumn("size", size).filter(F.col("size") >= F.when(edge, min(35.0, min_segment)).otherwise(min_segment))
-    if ratio is not None:
-        pairs = pairs.withColumn("black", ratio(F.col("x"), F.col("y"), F.col("to.x"), F.col("to.y"))).filter(F.col("black") >= min_black)
+    pairs = pairs.withColumn("size", size).filter(F.col("size") >= F.when(edge, min(edge_segment, min_segment)).otherwise(min_segment))
+    if black is not None:
+        key = ("image_id", "line_id", "pos")
+        dark = _dark(pairs.select(*key, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("to.x").alias("x1"), F.col("to.y").alias("y1")), black, key)
+        pairs = pairs.join(dark.withColumnRenamed("black_ratio", "black"), list(key)).filter(F.col("black") >= min_black)
     else:
         pairs = pairs.withColumn("black", F.lit(None).cast("double"))
     key = [F.least("node_id", "to.node_id"), F.greatest("node_id", "to.node_id")]

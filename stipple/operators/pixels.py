@@ -113,22 +113,37 @@ def close_(mask: DataFrame, width: int, height: int, k: int, shape: str = "ellip
     return erode(dilate(mask, width, height, k, shape), width, height, k, shape)
 
 
-def band_mask(lines: DataFrame, spacing: DataFrame, width: int, height: int, px: int = 0, ratio: float = 0.18, widest: int = 31, shape: str = "ellipse", frame: int = 0, style: str = "black_on_white") -> DataFrame:
+def _half_width(k: Column, dy: Column, shape: str) -> Column:
+    """How far an odd kernel of size k reaches to each side in the row dy: the rule of kernels.element."""
+    r = F.floor(k / 2)
+    if shape == "rect":
+        return r
+    if shape == "cross":
+        return F.when(dy == 0, r).otherwise(0)
+    if shape == "ellipse":
+        return F.when(r == 0, 0).otherwise(F.rint(r * F.sqrt(F.greatest(F.lit(0.0), 1 - dy * dy / (r * r)))))
+    raise ValueError(f"unknown kernel shape {shape!r}")
+
+
+def band_mask(lines: DataFrame, spacing: DataFrame, width: int, height: int, px: int = 0, ratio: float = 0.18, shape: str = "ellipse", frame: int = 0, style: str = "black_on_white") -> DataFrame:
     """Lines dilated to a band of px pixels, or of the image's spacing times a ratio, made odd; with a frame if asked.
 
-    Returns the band's pixels with the value that the style gives them (0 on white, 255 on black).
+    Returns the band's pixels with the value that the style gives them (0 on white, 255 on black).  Bands may have any
+    width: each row of the kernel is a range of its own.
     """
     own = F.greatest(F.lit(1), F.rint(F.col("spacing") * ratio).cast("int")) if px <= 0 else F.lit(px)
     odd = F.when(own % 2 == 0, own + 1).otherwise(own)
-    sized = lines.join(spacing.select("image_id", F.least(odd, F.lit(widest)).alias("k")), "image_id")
-    tables = [F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets(element(k, shape))]) for k in range(1, widest + 1, 2)]
-    cells = F.explode(F.element_at(F.array(*tables), ((F.col("k") + 1) / 2).cast("int")))
-    moved = sized.select("image_id", "x", "y", cells.alias("m")).select("image_id", (F.col("x") - F.col("m.dx")).alias("x"), (F.col("y") - F.col("m.dy")).alias("y"))
-    out = moved.filter(_within(width, height)).distinct()
+    sized = lines.join(spacing.select("image_id", odd.alias("k")), "image_id")
+    span = lambda n: F.explode(F.sequence(-n.cast("long"), n.cast("long")))
+    tall = sized.select("image_id", "x", "y", "k", span(F.floor(F.col("k") / 2)).alias("dy"))
+    moved = tall.select("image_id", "x", (F.col("y") - F.col("dy")).alias("y"), span(_half_width(F.col("k"), F.col("dy"), shape)).alias("dx"))
+    out = moved.select("image_id", (F.col("x") - F.col("dx")).alias("x"), "y").filter(_within(width, height)).distinct()
     if frame:
-        ring = [(x, y) for x in range(width) for y in range(height) if min(x, y, width - 1 - x, height - 1 - y) < frame]
-        cells = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in ring])
-        out = out.unionByName(lines.select("image_id").distinct().select("image_id", F.explode(cells).alias("p")).select("image_id", "p.x", "p.y")).distinct()
+        upto = lambda low, high: F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))
+        rows = lines.select("image_id").distinct().select("image_id", F.explode(upto(0, height - 1)).alias("y"))
+        sides = F.concat(upto(0, min(frame, width) - 1), upto(max(width - frame, 0), width - 1))
+        whole = (F.col("y") < frame) | (F.col("y") >= height - frame)
+        out = out.unionByName(rows.select("image_id", F.explode(F.when(whole, upto(0, width - 1)).otherwise(sides)).alias("x"), "y")).distinct()
     return out.withColumn("v", F.lit(0 if style == "black_on_white" else 255))
 
 
@@ -248,16 +263,20 @@ def inner_rect(white: DataFrame, sizes: DataFrame, share: float = 0.02, inset: i
     return both.select("image_id", pick(left, F.lit(0)).alias("left"), pick(top, F.lit(0)).alias("top"), pick(right, F.col("width") - 1).alias("right"), pick(bottom, F.col("height") - 1).alias("bottom"))
 
 
-def black_ratio(segments: DataFrame, black: DataFrame, width: int, height: int, step: float = 6.0) -> DataFrame:
-    """The share of black among evenly spaced samples of segments (image_id, seg_id, x0, y0, x1, y1)."""
+def black_ratio(segments: DataFrame, black: DataFrame, width: int | str, height: int | str, step: float = 6.0, key: tuple[str, ...] = ("image_id", "seg_id")) -> DataFrame:
+    """The share of black among evenly spaced samples of segments (the key's columns, x0, y0, x1, y1).
+
+    Samples outside the image count at its edge.  width and height are numbers, or name columns of the segments.
+    """
     size = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
     n = F.greatest(F.lit(2), F.ceil(size / step).cast("int"))
     spread = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda a, b, top: F.least(F.greatest(F.rint(F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") / (F.col("n") - 1))), F.lit(0.0)), F.lit(top - 1.0)).cast("long")
-    looked = spread.select("image_id", "seg_id", at("x0", "x1", width).alias("x"), at("y0", "y1", height).alias("y"), size.alias("size"))
+    of = lambda top: F.col(top) if isinstance(top, str) else F.lit(top)
+    at = lambda a, b, top: F.least(F.greatest(F.rint(F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") / (F.col("n") - 1))), F.lit(0.0)), of(top) - 1.0).cast("long")
+    looked = spread.select(*key, at("x0", "x1", width).alias("x"), at("y0", "y1", height).alias("y"), size.alias("size"))
     hit = black.select(*KEY, F.lit(1).alias("hit"))
-    by = looked.join(hit, list(KEY), "left").groupBy("image_id", "seg_id").agg((F.count("hit") / F.count(F.lit(1))).alias("ratio"), F.first("size").alias("size"))
-    return by.select("image_id", "seg_id", F.when(F.col("size") < 1e-6, 0.0).otherwise(F.col("ratio")).alias("black_ratio"))
+    by = looked.join(hit, list(KEY), "left").groupBy(*key).agg((F.count("hit") / F.count(F.lit(1))).alias("ratio"), F.first("size").alias("size"))
+    return by.select(*key, F.when(F.col("size") < 1e-6, 0.0).otherwise(F.col("ratio")).alias("black_ratio"))
 
 
 def components(mask: DataFrame) -> DataFrame:

@@ -150,5 +150,5 @@ def region_masks(images: DataFrame, points: DataFrame, width: int, height: int,
     members = point_components(annulus_edges(enough, s, p.min_r, p.max_r))
     masks = rasterise(hulls(members, enough, s, p.min_points, p.hull_area, p.eps, p.eps_min, p.poly_eps), width, height)
     own = F.col("boundary" if kind == "line" else "instances")
-    blank = F.lit(bytes(width * height))
+    blank = F.unhex(F.repeat(F.lit("00"), width * height))  # made where it is needed, not in the plan
     return images.select("image_id").distinct().join(counts, "image_id", "left").join(masks, "image_id", "left").select("image_id", F.coalesce("centres", F.lit(0)).alias("centres"), F.coalesce(own, blank).alias("mask"))

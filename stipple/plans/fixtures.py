@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 SIZE = 64  # width and height of the derived images
 
 SQL = {
-    "points": """select p_partkey // 400 as image_id, p_partkey as pid, ((p_partkey % 400) % 20) * 20.0::double + p_size % 5 as x,
-        ((p_partkey % 400) // 20) * 20.0::double + p_size % 3 as y from part where p_size % 5 < 2""",
+    "points": """select p_partkey // 400 as image_id, p_partkey as pid, ((p_partkey % 400) % 20) * 20.0::double + p_size % 5 + (p_size % 5 // 2) * 1000 as x,
+        ((p_partkey % 400) // 20) * 20.0::double + p_size % 3 as y from part""",
     "pixels": """select l_suppkey as image_id, l_partkey % 64 as x, l_orderkey % 64 as y, max(l_quantity)::bigint as v from lineitem group by 1, 2, 3""",
     "lines": """select s_suppkey // 10 as image_id, s_suppkey % 10 as line_id, s_suppkey % 2 as family,
         200.0::double + (s_suppkey * 37 % 11) * 100 as ox, 300.0::double + (s_suppkey * 53 % 13) * 100 as oy,
         case when s_suppkey % 2 = 0 then 0.6 else -0.8 end::double as dx, case when s_suppkey % 2 = 0 then 0.8 else 0.6 end::double as dy,
         -700.0::double as tmin, 700.0::double as tmax from supplier""",
+    "small_lines": """select s_suppkey // 10 as image_id, s_suppkey % 10 as line_id, s_suppkey % 2 as family,
+        4.0::double + (s_suppkey * 37 % 11) * 5 as ox, 6.0::double + (s_suppkey * 53 % 13) * 4 as oy,
+        case when s_suppkey % 2 = 0 then 0.6 else -0.8 end::double as dx, case when s_suppkey % 2 = 0 then 0.8 else 0.6 end::double as dy,
+        -40.0::double as tmin, 40.0::double as tmax from supplier""",
     "hough": """select o_custkey % 50 as image_id, o_orderkey as seg_no, o_orderkey * 7 % 1600 as x1, o_orderkey * 13 % 2200 as y1,
         o_orderkey * 7 % 1600 + case when o_orderkey % 2 = 0 then 110 + o_orderkey % 37 else -(170 + o_orderkey % 41) end as x2,
         o_orderkey * 13 % 2200 + case when o_orderkey % 2 = 0 then 190 + o_orderkey % 43 else 130 + o_orderkey % 31 end as y2 from orders""",
@@ -39,9 +43,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
+    """All parts: three patterns beside each other in each image, by size, with holes missing in each."""
     p = F.col("p_partkey")
     k = p % 400
-    return load(spark, d, "part").filter("p_size % 5 < 2").select(F.floor(p / 400).alias("image_id"), p.alias("pid"), ((k % 20) * 20.0 + F.col("p_size") % 5).alias("x"), (F.floor(k / 20) * 20.0 + F.col("p_size") % 3).alias("y"))
+    part = F.col("p_size") % 5
+    return load(spark, d, "part").select(F.floor(p / 400).alias("image_id"), p.alias("pid"), ((k % 20) * 20.0 + part + F.floor(part / 2) * 1000).alias("x"), (F.floor(k / 20) * 20.0 + F.col("p_size") % 3).alias("y"))
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -54,11 +60,10 @@ def mask(spark: SparkSession, d: str, above: int = 25) -> DataFrame:
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    """All cells of 16 x 16 pictures, one for each supplier."""
-    rows = pixels(spark, d).filter("x < 16 and y < 16")
-    cells = F.explode(F.sequence(F.lit(0), F.lit(255)))
-    grid = load(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), cells.alias("c")).select("image_id", (F.col("c") % 16).cast("long").alias("x"), F.floor(F.col("c") / 16).alias("y"))
-    return grid.join(rows, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("v", F.lit(0)).alias("v"))
+    """All cells of the pictures, one picture for each supplier."""
+    cells = F.explode(F.sequence(F.lit(0), F.lit(SIZE * SIZE - 1)))
+    grid = load(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), cells.alias("c")).select("image_id", (F.col("c") % SIZE).cast("long").alias("x"), F.floor(F.col("c") / SIZE).alias("y"))
+    return grid.join(pixels(spark, d), ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("v", F.lit(0)).alias("v"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -67,9 +72,16 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "supplier").select(F.floor(s / 10).alias("image_id"), (s % 10).alias("line_id"), (s % 2).alias("family"), (200.0 + (s * 37 % 11) * 100).alias("ox"), (300.0 + (s * 53 % 13) * 100).alias("oy"), F.when(even, 0.6).otherwise(-0.8).alias("dx"), F.when(even, 0.8).otherwise(0.6).alias("dy"), F.lit(-700.0).alias("tmin"), F.lit(700.0).alias("tmax"))
 
 
-def rects(spark: SparkSession, d: str) -> DataFrame:
+def small_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines across the pictures of SIZE x SIZE pixels."""
+    own = lines(spark, d).withColumn("s", F.col("image_id") * 10 + F.col("line_id"))
+    s = F.col("s")
+    return own.select("image_id", "line_id", "family", (4.0 + (s * 37 % 11) * 5).alias("ox"), (6.0 + (s * 53 % 13) * 4).alias("oy"), "dx", "dy", F.lit(-40.0).alias("tmin"), F.lit(40.0).alias("tmax"))
+
+
+def rects(spark: SparkSession, d: str, box: tuple[int, int, int, int] = (50, 74, 1580, 2190)) -> DataFrame:
     own = load(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 10).alias("image_id")).distinct()
-    return own.select("image_id", F.lit(50).alias("left"), F.lit(74).alias("top"), F.lit(1580).alias("right"), F.lit(2190).alias("bottom"))
+    return own.select("image_id", *[F.lit(v).alias(c) for c, v in zip(("left", "top", "right", "bottom"), box, strict=True)])
 
 
 def hough(spark: SparkSession, d: str) -> DataFrame:

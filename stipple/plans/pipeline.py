@@ -26,22 +26,19 @@ def photo_to_regions(images: DataFrame, params: Params = LARGE) -> dict[str, Dat
 def regions_to_graph(masks: DataFrame, params: Params = LARGE) -> dict[str, DataFrame]:
     """Region masks (image_id, height, width, data) to lines, nodes, segments and documents.
 
-    A mask's dark pixels come as a relation once, for the tests on black.
+    A mask's dark pixels come as a relation, for the tests on black: of crossings, boundary nodes and segments.
     """
     g = params.geometry
     centre = dense.centrelines(masks, params.centreline)
     sizes = masks.select("image_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
-    px = dense.pixels(masks).persist()
+    px = dense.pixels(masks)
     rects = pixels.inner_rect(px.filter("v > 127"), sizes, inset=g.inset)
     black = px.filter("v < 128").join(sizes, "image_id").select("image_id", "x", "y", F.col("width").alias("w"), F.col("height").alias("h"))
     segs = lines.segment_features(dense.hough(centre, params), g.min_length)
     fitted = lines.fit_lines(segs.join(lines.cluster_segments(segs, g.rho), ["image_id", "seg_no"]))
     crossed = lines.crossings(fitted, rects, black, g.pad)
-    nodes = lines.line_nodes(fitted, crossed, lines.rect_hits(fitted, rects), pad=g.pad)
-    found = lines.line_segments(nodes, g.min_segment)
-    # the share of black along each segment, by sampling the relation
-    ratio = pixels.black_ratio(found.join(sizes, "image_id"), black, 1 << 20, 1 << 20)
-    dark = found.drop("black_ratio").join(ratio, ["image_id", "seg_id"]).filter(F.col("black_ratio") >= g.min_black).withColumn("black_ratio", F.bround("black_ratio", 3))
+    nodes = lines.line_nodes(fitted, crossed, lines.rect_hits(fitted, rects), pad=g.pad, black=black, min_black=g.min_black)
+    dark = lines.line_segments(nodes, g.min_segment, black, g.min_black)
     images = sizes.join(rects, "image_id").withColumn("source", F.lit(None).cast("string"))
     return {"centrelines": centre, "rects": rects, "lines": fitted, "nodes": nodes, "segments": dark, "documents": lines.geo_documents(images, fitted, nodes, dark)}
 

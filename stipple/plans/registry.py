@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipple.functions.kernels import element, gaussian, offsets
+from stipple.functions.scalars import gray, report_line
 from stipple.operators import compare, draw, lines, pixels, points, series
 from stipple.plans import fixtures as fx
 
@@ -97,31 +98,57 @@ def hulls(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- lines
 
-CROSS = f"""select image_id, 'C' || (row_number() over (partition by image_id order by line_a, line_b) - 1) as node_id, line_a, line_b, x, y, ta, tb from (
+def graph_sql(table: str = "lines", rect: dict[str, int] = RECT, pad: int = 120, reach: int = 820, gap: int = 10, edge: int = 35, segment: int = 80, black: float | None = None) -> dict[str, str]:
+    """Crossings, boundary nodes and segments of lines in a rect; with a share of black of the pixels if that is given."""
+    left, right, top, bottom = (rect[c] for c in ("left", "right", "top", "bottom"))
+
+    def dark(x0: str, y0: str, x1: str, y1: str, of: str) -> str:
+        """By its definition: samples at most 6 apart, at least two."""
+        if black is None:
+            return ""
+        n = f"greatest(2, ceil(sqrt(({x1} - {x0}) ** 2 + ({y1} - {y0}) ** 2) / 6.0)::bigint)"
+        at = lambda a, b: f"least(greatest(round_even({a} + ({b} - {a}) * (i / ({n} - 1)), 0), 0), {N - 1})::bigint"
+        return f" and (select count(p.v) / count(*) from (select {at(x0, x1)} as px, {at(y0, y1)} as py, {of}.image_id as own from unnest(range({n})) u(i)) s left join pixels p on p.image_id = s.own and p.x = s.px and p.y = s.py and p.v > 10) >= {black}"
+
+    cross = f"""select image_id, 'C' || (row_number() over (partition by image_id order by line_a, line_b) - 1) as node_id, line_a, line_b, x, y, ta, tb from (
     select *, aox + ta * adx as x, aoy + ta * ady as y from (
     select a.image_id, a.line_id as line_a, b.line_id as line_b, a.ox as aox, a.oy as aoy, a.dx as adx, a.dy as ady, a.tmin as atmin, a.tmax as atmax, b.tmin as btmin, b.tmax as btmax,
     (b.dx * (b.oy - a.oy) - (b.ox - a.ox) * b.dy) / (b.dx * a.dy - a.dx * b.dy) as ta, (a.dx * (b.oy - a.oy) - (b.ox - a.ox) * a.dy) / (b.dx * a.dy - a.dx * b.dy) as tb
-    from lines a join lines b on a.image_id = b.image_id and a.line_id < b.line_id and a.family <> b.family where abs(b.dx * a.dy - a.dx * b.dy) >= 1e-6))
-    where aox + ta * adx between {RECT['left']} and {RECT['right']} and aoy + ta * ady between {RECT['top']} and {RECT['bottom']} and ta between atmin - 120 and atmax + 120 and tb between btmin - 120 and btmax + 120"""
-RAW_HITS = f"""select image_id, line_id, 0 as ord, {RECT['left']}::double as x, oy + ({RECT['left']} - ox) / dx * dy as y, ({RECT['left']} - ox) / dx as t from lines where oy + ({RECT['left']} - ox) / dx * dy between {RECT['top'] - 1} and {RECT['bottom'] + 1}
-    union all select image_id, line_id, 1, {RECT['right']}, oy + ({RECT['right']} - ox) / dx * dy, ({RECT['right']} - ox) / dx from lines where oy + ({RECT['right']} - ox) / dx * dy between {RECT['top'] - 1} and {RECT['bottom'] + 1}
-    union all select image_id, line_id, 2, ox + ({RECT['top']} - oy) / dy * dx, {RECT['top']}, ({RECT['top']} - oy) / dy from lines where ox + ({RECT['top']} - oy) / dy * dx between {RECT['left'] - 1} and {RECT['right'] + 1}
-    union all select image_id, line_id, 3, ox + ({RECT['bottom']} - oy) / dy * dx, {RECT['bottom']}, ({RECT['bottom']} - oy) / dy from lines where ox + ({RECT['bottom']} - oy) / dy * dx between {RECT['left'] - 1} and {RECT['right'] + 1}"""
-#: Of two hits within 2 of each other the first stays; a line has two apart at most, so no chains arise.
-HITS = "select h.* from raw_hits h where not exists (select 1 from raw_hits g where g.image_id = h.image_id and g.line_id = h.line_id and g.ord < h.ord and (g.x - h.x) ** 2 + (g.y - h.y) ** 2 < 4)"
-ON = "select image_id, line_a as line_id, node_id, 'crossing' as kind, substr(node_id, 2)::bigint as n, x, y, ta as t from crossed union all select image_id, line_b, node_id, 'crossing', substr(node_id, 2)::bigint, x, y, tb from crossed"
-#: The first hit is judged by the crossings (or the extent), the second also by the first if that was taken.
-FIRST = """select h.*, row_number() over (partition by h.image_id, h.line_id order by h.ord) as pos, c.x as cx, c.y as cy, c.t as ct from hits h left join lateral
+    from {table} a join {table} b on a.image_id = b.image_id and a.line_id < b.line_id and a.family <> b.family where abs(b.dx * a.dy - a.dx * b.dy) >= 1e-6))
+    where aox + ta * adx between {left} and {right} and aoy + ta * ady between {top} and {bottom} and ta between atmin - {pad} and atmax + {pad} and tb between btmin - {pad} and btmax + {pad}"""
+    raw_hits = f"""select image_id, line_id, 0 as ord, {left}::double as x, oy + ({left} - ox) / dx * dy as y, ({left} - ox) / dx as t from {table} where oy + ({left} - ox) / dx * dy between {top - 1} and {bottom + 1}
+    union all select image_id, line_id, 1, {right}, oy + ({right} - ox) / dx * dy, ({right} - ox) / dx from {table} where oy + ({right} - ox) / dx * dy between {top - 1} and {bottom + 1}
+    union all select image_id, line_id, 2, ox + ({top} - oy) / dy * dx, {top}, ({top} - oy) / dy from {table} where ox + ({top} - oy) / dy * dx between {left - 1} and {right + 1}
+    union all select image_id, line_id, 3, ox + ({bottom} - oy) / dy * dx, {bottom}, ({bottom} - oy) / dy from {table} where ox + ({bottom} - oy) / dy * dx between {left - 1} and {right + 1}"""
+    # Of two hits within 2 of each other the first stays; a line has two apart at most, so no chains arise.
+    hits = "select h.* from raw_hits h where not exists (select 1 from raw_hits g where g.image_id = h.image_id and g.line_id = h.line_id and g.ord < h.ord and (g.x - h.x) ** 2 + (g.y - h.y) ** 2 < 4)"
+    on = "select image_id, line_a as line_id, node_id, 'crossing' as kind, substr(node_id, 2)::bigint as n, x, y, ta as t from crossed union all select image_id, line_b, node_id, 'crossing', substr(node_id, 2)::bigint, x, y, tb from crossed"
+    # The first hit is judged by the crossings (or the extent), the second also by the first if that was taken.
+    first = """select h.*, row_number() over (partition by h.image_id, h.line_id order by h.ord) as pos, c.x as cx, c.y as cy, c.t as ct from hits h left join lateral
     (select o.x, o.y, o.t from on_lines o where o.image_id = h.image_id and o.line_id = h.line_id order by abs(o.t - h.t), o.n limit 1) c on true"""
-TAKEN = """select f.*, case when f.ct is not null then sqrt((f.cx - f.x) ** 2 + (f.cy - f.y) ** 2) >= 10 else f.t between -820 and 820 end as alone from judged f"""
-ACCEPTED = """select b.image_id, b.line_id, b.ord, b.x, b.y, b.t from taken b left join taken a on a.image_id = b.image_id and a.line_id = b.line_id and a.pos = b.pos - 1 and a.alone
-    where case when a.t is null then b.alone when b.ct is not null and abs(b.ct - b.t) <= abs(a.t - b.t) then sqrt((b.cx - b.x) ** 2 + (b.cy - b.y) ** 2) >= 10 else sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= 10 end"""
-BOUND = "select a.image_id, a.line_id, row_number() over (partition by a.image_id order by a.line_id, a.ord) - 1 + coalesce(c.n, 0) as n, a.x, a.y, a.t from accepted a left join (select image_id, count(*) as n from crossed group by 1) c on c.image_id = a.image_id"
-NODES = "select image_id, line_id, node_id, kind, n, x, y, t from on_lines union all select image_id, line_id, 'B' || n, 'boundary', n, x, y, t from bound"
-PAIRS = """select *, lead(node_id) over w as to_id, lead(kind) over w as to_kind, lead(x) over w as tx, lead(y) over w as ty, row_number() over w as pos from all_nodes window w as (partition by image_id, line_id order by t, n)"""
-LONG = """select *, sqrt((x - tx) ** 2 + (y - ty) ** 2) as size from pairs where to_id is not null and sqrt((x - tx) ** 2 + (y - ty) ** 2) >= case when kind = 'boundary' or to_kind = 'boundary' then 35 else 80 end"""
-ONCE = """select * from long_ones qualify row_number() over (partition by image_id, least(node_id, to_id), greatest(node_id, to_id) order by line_id, pos) = 1"""
-GRAPH = {"crossed": CROSS, "raw_hits": RAW_HITS, "hits": HITS, "on_lines": ON, "judged": FIRST, "taken": TAKEN, "accepted": ACCEPTED, "bound": BOUND, "all_nodes": NODES, "pairs": PAIRS, "long_ones": LONG, "once": ONCE}
+    taken = f"""select f.*, case when f.ct is not null then sqrt((f.cx - f.x) ** 2 + (f.cy - f.y) ** 2) >= {gap}{dark("f.x", "f.y", "f.cx", "f.cy", "f")} else f.t between -{reach} and {reach} end as alone from judged f"""
+    accepted = f"""select b.image_id, b.line_id, b.ord, b.x, b.y, b.t from taken b left join taken a on a.image_id = b.image_id and a.line_id = b.line_id and a.pos = b.pos - 1 and a.alone
+    where case when a.t is null then b.alone when b.ct is not null and abs(b.ct - b.t) <= abs(a.t - b.t) then sqrt((b.cx - b.x) ** 2 + (b.cy - b.y) ** 2) >= {gap}{dark('b.x', 'b.y', 'b.cx', 'b.cy', 'b')} else sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= {gap}{dark('b.x', 'b.y', 'a.x', 'a.y', 'b')} end"""
+    bound = "select a.image_id, a.line_id, row_number() over (partition by a.image_id order by a.line_id, a.ord) - 1 + coalesce(c.n, 0) as n, a.x, a.y, a.t from accepted a left join (select image_id, count(*) as n from crossed group by 1) c on c.image_id = a.image_id"
+    nodes = "select image_id, line_id, node_id, kind, n, x, y, t from on_lines union all select image_id, line_id, 'B' || n, 'boundary', n, x, y, t from bound"
+    pairs = """select *, lead(node_id) over w as to_id, lead(kind) over w as to_kind, lead(x) over w as tx, lead(y) over w as ty, row_number() over w as pos from all_nodes window w as (partition by image_id, line_id order by t, n)"""
+    long = f"""select *, sqrt((x - tx) ** 2 + (y - ty) ** 2) as size from pairs where to_id is not null and sqrt((x - tx) ** 2 + (y - ty) ** 2) >= case when kind = 'boundary' or to_kind = 'boundary' then {edge} else {segment} end{dark('x', 'y', 'tx', 'ty', 'pairs')}"""
+    once = """select * from long_ones qualify row_number() over (partition by image_id, least(node_id, to_id), greatest(node_id, to_id) order by line_id, pos) = 1"""
+    return {"crossed": cross, "raw_hits": raw_hits, "hits": hits, "on_lines": on, "judged": first, "taken": taken, "accepted": accepted, "bound": bound, "all_nodes": nodes, "pairs": pairs, "long_ones": long, "once": once}
+
+
+GRAPH = graph_sql()
+SMALL_RECT = dict(left=2, top=3, right=60, bottom=61)
+SMALL = graph_sql("small_lines", SMALL_RECT, 10, 50, 3, 4, 6, 0.1)
+
+
+def dark_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and segments of lines across the pictures, tested on their pixels."""
+    ln, rect = fx.small_lines(spark, d), fx.rects(spark, d, tuple(SMALL_RECT.values()))
+    black = fx.mask(spark, d, 10).withColumns({"w": F.lit(N), "h": F.lit(N)})
+    crossed = lines.crossings(ln, rect, pad=10)
+    nodes = lines.line_nodes(ln, crossed, lines.rect_hits(ln, rect), 3, 10, black, 0.1)
+    return nodes, lines.line_segments(nodes, 6, black, 0.1, 4)
 
 
 def line_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -147,8 +174,9 @@ def fitted(spark: SparkSession, d: str) -> DataFrame:
 DEGREES = "select n.*, coalesce(e.c, 0) as degree from nodes n left join (select image_id, node_id, count(*) as c from (select image_id, from_node as node_id from segments union all select image_id, to_node from segments) group by 1, 2) e on e.image_id = n.image_id and e.node_id = n.node_id"
 MOVES = "select t.image_id, t.kind, coalesce(avg(t.x) - (select avg(x) from nodes r where r.image_id = 1 and r.kind = t.kind), 0) as tx, coalesce(avg(t.y) - (select avg(y) from nodes r where r.image_id = 1 and r.kind = t.kind), 0) as ty from nodes t where t.image_id <> 1 group by 1, 2"
 COSTS = "select t.image_id, t.kind, r.node_id as ref_node, t.node_id as tgt_node, sqrt((r.x + m.tx - t.x) ** 2 + (r.y + m.ty - t.y) ** 2) + 20 * abs(r.degree - t.degree) as cost from degrees t join moves m on m.image_id = t.image_id and m.kind = t.kind join degrees r on r.image_id = 1 and r.kind = t.kind where t.image_id <> 1"
-#: Only targets with as many nodes as the reference, so that the program over subsets needs no transposing.
-NUMBERED = "select image_id, kind, dense_rank() over (partition by image_id, kind order by length(ref_node), ref_node) - 1 as i, dense_rank() over (partition by image_id, kind order by length(tgt_node), tgt_node) - 1 as j, cost from costs"
+#: Nodes of the smaller side (of the reference, if both are equal) and of the other, counted from 0.
+RANKED = "select image_id, kind, dense_rank() over (partition by image_id, kind order by length(ref_node), ref_node) - 1 as r, dense_rank() over (partition by image_id, kind order by length(tgt_node), tgt_node) - 1 as t, cost from costs"
+NUMBERED = "select image_id, kind, case when max(t) over w < max(r) over w then t else r end as i, case when max(t) over w < max(r) over w then r else t end as j, cost from ranked window w as (partition by image_id, kind)"
 
 
 def subsets_sql(n: int = 8) -> dict[str, str]:
@@ -164,8 +192,9 @@ def subsets_sql(n: int = 8) -> dict[str, str]:
 GEOMETRY = "select *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) as size, degrees(atan2(y1 - y0, x1 - x0)) as angle, (x0 + x1) / 2.0 as mx, (y0 + y1) / 2.0 as my from segments"
 #: In these graphs the nodes of one place are each other's match.
 MATCHED = """select t.image_id, r.seg_id as ref_segment, t.seg_id as target_segment, r.size as rs, t.size as ts, 180 - (((180 - (t.angle - r.angle)) % 360) + 360) % 360 as turn, r.mx as rmx, r.my as rmy, t.mx as tmx, t.my as tmy
-    from geometry r join geometry t on r.image_id = 1 and t.image_id <> 1 and least(r.from_node, r.to_node) = least(t.from_node, t.to_node) and greatest(r.from_node, r.to_node) = greatest(t.from_node, t.to_node)
-    join (select image_id from nodes group by 1 having count(*) = 12) whole on whole.image_id = t.image_id"""
+    from geometry r join geometry t on r.image_id = 1 and t.image_id <> 1 and least(r.from_node, r.to_node) = least(t.from_node, t.to_node) and greatest(r.from_node, r.to_node) = greatest(t.from_node, t.to_node)"""
+
+
 def twice(e: str) -> str:
     """To six places as the operator gives them, then to four."""
     return f"round(round_even({e}, 6), 4)"
@@ -175,10 +204,8 @@ MOVED = f"""select image_id, ref_segment, target_segment, {twice('turn')} as rot
     {twice('tmx - (cos(radians(turn)) * rmx - sin(radians(turn)) * rmy)')} as rigid_x, {twice('tmy - (sin(radians(turn)) * rmx + cos(radians(turn)) * rmy)')} as rigid_y, {twice('ts / greatest(rs, 1e-9)')} as length_ratio from matched"""
 
 
-def whole_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    n, s = fx.nodes(spark, d), fx.segments(spark, d)
-    whole = n.groupBy("image_id").agg(F.count(F.lit(1)).alias("c")).filter("c = 12").select("image_id")
-    return n.join(whole, "image_id", "left_semi"), s.join(whole, "image_id", "left_semi")
+def graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return fx.nodes(spark, d), fx.segments(spark, d)
 
 
 def same_place(nodes: DataFrame) -> DataFrame:
@@ -186,12 +213,12 @@ def same_place(nodes: DataFrame) -> DataFrame:
 
 
 def moved(spark: SparkSession, d: str) -> DataFrame:
-    n, s = whole_graphs(spark, d)
+    n, s = graphs(spark, d)
     return compare.transforms(compare.match_segments(s, same_place(n), 1))
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    n, s = whole_graphs(spark, d)
+    n, s = graphs(spark, d)
     return compare.match_nodes(n, s, 1)
 
 
@@ -214,7 +241,7 @@ def registry() -> dict[str, Entry]:
     add("pixel_binarise", lambda s, d: pixels.binarise(px(s, d).withColumn("v", F.col("v") * 5)), cte("pixels") + "select image_id, x, y, v * 5 < 128 as black, v * 5 > 127 as white from pixels")
     add("mask_invert", lambda s, d: pixels.invert(px(s, d)), cte("pixels") + "select image_id, x, y, 255 - v as v from pixels")
     add("hole_preview", lambda s, d: pixels.paint(px(s, d), mask(s, d, 40)), cte("pixels") + "select image_id, x, y, case when v > 40 then 255 else v end as v from pixels")
-    add("gray_level", lambda s, d: px(s, d).select("image_id", "x", "y", F.floor((F.col("v") * 114 + F.col("v") * 3 % 256 * 587 + F.col("v") * 7 % 256 * 299 + 500) / 1000).alias("gray")), cte("pixels") + "select image_id, x, y, (v * 114 + v * 3 % 256 * 587 + v * 7 % 256 * 299 + 500) // 1000 as gray from pixels")
+    add("gray_level", lambda s, d: px(s, d).select("image_id", "x", "y", gray(F.col("v"), F.col("v") * 3 % 256, F.col("v") * 7 % 256).cast("long").alias("gray")), cte("pixels") + "select image_id, x, y, (v * 114 + v * 3 % 256 * 587 + v * 7 % 256 * 299 + 500) // 1000 as gray from pixels")
     add("roi_scale_clip", lambda s, d: pixels.scale_points(fx.points(s, d).select("image_id", "pid", "x", "y", F.lit(300).alias("width"), F.lit(200).alias("height")), 400, 400).select("image_id", "pid", r6("sx").alias("sx"), r6("sy").alias("sy")), cte("points") + "select image_id, pid, round(least(greatest(x * 300 / 400.0, 0), 299), 6) as sx, round(least(greatest(y * 200 / 400.0, 0), 199), 6) as sy from points")
     # the region's edges: inside is right of none of them, since the region is convex
     half = " and ".join(f"({x2 - x1}) * (y - {y1}) - ({y2 - y1}) * (x - {x1}) >= 0" for (x1, y1), (x2, y2) in zip(ROI, ROI[1:] + ROI[:1], strict=True))
@@ -226,13 +253,13 @@ def registry() -> dict[str, Entry]:
         add(name, lambda s, d, f=f, k=k: f(mask(s, d), N, N, k), cte("pixels", mask=MASK) + sql)
     add("morphological_open", lambda s, d: pixels.open_(mask(s, d, 10), N, N, 3, "cross"), cte("pixels", mask="select image_id, x, y from pixels where v > 10", small=erode_sql("mask", 3, "cross")) + dilate_sql("small", 3, "cross"))
     add("morphological_close", lambda s, d: pixels.close_(mask(s, d), N, N, 3), cte("pixels", mask=MASK, big=dilate_sql("mask", 3)) + erode_sql("big", 3))
-    add("band_mask", lambda s, d: pixels.band_mask(mask(s, d, 45), px(s, d).select("image_id").distinct().withColumn("spacing", F.lit(20.0)), N, N, widest=9), cte("pixels", mask="select image_id, x, y from pixels where v > 45") + f"select image_id, x, y, 0 as v from ({dilate_sql('mask', 5)})")
+    add("band_mask", lambda s, d: pixels.band_mask(mask(s, d, 45), px(s, d).select("image_id").distinct().withColumn("spacing", F.lit(20.0)), N, N), cte("pixels", mask="select image_id, x, y from pixels where v > 45") + f"select image_id, x, y, 0 as v from ({dilate_sql('mask', 5)})")
     weight = "(values " + ", ".join(f"({k - 2}, {w!r}::double)" for k, w in enumerate(blur)) + ")"
-    grid = "select s_suppkey as image_id, c % 16 as x, c // 16 as y, coalesce(v, 0) as v from supplier, range(256) r(c) left join pixels p on p.image_id = s_suppkey and p.x = c % 16 and p.y = c // 16"
+    grid = f"select s_suppkey as image_id, c % {N} as x, c // {N} as y, coalesce(v, 0) as v from supplier, range({N * N}) r(c) left join pixels p on p.image_id = s_suppkey and p.x = c % {N} and p.y = c // {N}"
     add(
         "gauss_adaptive_threshold",
         lambda s, d: pixels.gauss_threshold(fx.dense(s, d), blur, 7),
-        cte("pixels", grid=grid, mean=f"select g.image_id, g.x, g.y, g.v, round_even(round(sum(h.v * a.w * b.w), 9), 0)::bigint as mean from grid g, {weight} a(i, w), {weight} b(j, w), grid h where h.image_id = g.image_id and h.x = least(greatest(g.x + a.i, 0), 15) and h.y = least(greatest(g.y + b.j, 0), 15) group by all") + "select image_id, x, y, v, mean, v - mean <= -7 as hole from mean",
+        cte("pixels", grid=grid, mean=f"select g.image_id, g.x, g.y, g.v, round_even(round(sum(h.v * a.w * b.w), 9), 0)::bigint as mean from grid g, {weight} a(i, w), {weight} b(j, w), grid h where h.image_id = g.image_id and h.x = least(greatest(g.x + a.i, 0), {N - 1}) and h.y = least(greatest(g.y + b.j, 0), {N - 1}) group by all") + "select image_id, x, y, v, mean, v - mean <= -7 as hole from mean",
     )
     add("pixel_components", labels, regions() + "select image_id, x, y, label from labels")
     add("component_stats", lambda s, d: pixels.region_stats(labels(s, d)).withColumns({"cx": r6("cx"), "cy": r6("cy")}), regions() + 'select image_id, label, "left", "top", width, height, area, round(cx, 6) as cx, round(cy, 6) as cy from stats')
@@ -272,7 +299,7 @@ def registry() -> dict[str, Entry]:
     add("hull_area", lambda s, d: points.polygon_area(hulls(s, d)).select("image_id", "comp_id", r6("shoelace").alias("area")), area + "select image_id, comp_id, area from big")
     add("hull_perimeter", lambda s, d: points.polygon_perimeter(hulls(s, d)).select("image_id", "comp_id", r4("around").alias("perimeter")), area + "select image_id, comp_id, round(perimeter, 4) as perimeter from big")
     add("hull_simplify", lambda s, d: hulls(s, d).select("image_id", "comp_id", F.size("hull").alias("n_hull"), F.size("simplified").alias("n_simplified")), None)
-    add("region_masks", lambda s, d: points.region_masks(fx.points(s, d), fx.points(s, d), 400, 400, "instances").select("image_id", "centres", F.sha2("mask", 256).alias("mask_sha256")), None)
+    add("region_masks", lambda s, d: points.region_masks(fx.points(s, d), fx.points(s, d), 2400, 400, "instances").select("image_id", "centres", F.sha2("mask", 256).alias("mask_sha256")), None)
 
     # lines
     votes = ", ".join(f"({k}, {c!r}::double, {s!r}::double)" for k, c, s in turns)
@@ -282,23 +309,25 @@ def registry() -> dict[str, Entry]:
     add("direction_families", lambda s, d: (lambda f: lines.cluster_segments(f, 55).select("image_id", "seg_no", "family", "cluster"))(lines.segment_features(fx.hough(s, d), 200)), None)
     add("tls_line_fit", lambda s, d: fitted(s, d).select("image_id", "family", r4("ox").alias("ox"), r4("oy").alias("oy"), r4("dx").alias("dx"), r4("dy").alias("dy")), cte("hough", ends=ENDS, fit=FIT, signed="select *, case when cos(a) * case fam when 0 then 0.5 else -0.8 end + sin(a) * case fam when 0 then 0.87 else 0.6 end < 0 then -1 else 1 end as sg from fit") + "select image_id, fam as family, round(ox, 4) as ox, round(oy, 4) as oy, round(cos(a) * sg, 4) as dx, round(sin(a) * sg, 4) as dy from signed")
     add("line_support", lambda s, d: fitted(s, d).select("image_id", "family", "support_count", F.round("support_length", 1).alias("support_length")), cte("hough", ends=ENDS, fit=FIT) + "select image_id, fam as family, support_count, round(round_even(support, 2), 1) as support_length from fit")
-    add("line_crossings", lambda s, d: line_graph(s, d)[1].select("image_id", "node_id", "line_a", "line_b", r6("x").alias("x"), r6("y").alias("y")), cte("lines", crossed=CROSS) + "select image_id, node_id, line_a, line_b, round(x, 6) as x, round(y, 6) as y from crossed")
-    add("rect_intersections", lambda s, d: lines.rect_hits(fx.lines(s, d), fx.rects(s, d)).select("image_id", "line_id", "ord", r6("x").alias("x"), r6("y").alias("y")), cte("lines", raw_hits=RAW_HITS, hits=HITS) + "select image_id, line_id, ord, round(x, 6) as x, round(y, 6) as y from hits")
+    add("line_crossings", lambda s, d: line_graph(s, d)[1].select("image_id", "node_id", "line_a", "line_b", r6("x").alias("x"), r6("y").alias("y")), cte("lines", crossed=GRAPH["crossed"]) + "select image_id, node_id, line_a, line_b, round(x, 6) as x, round(y, 6) as y from crossed")
+    add("rect_intersections", lambda s, d: lines.rect_hits(fx.lines(s, d), fx.rects(s, d)).select("image_id", "line_id", "ord", r6("x").alias("x"), r6("y").alias("y")), cte("lines", raw_hits=GRAPH["raw_hits"], hits=GRAPH["hits"]) + "select image_id, line_id, ord, round(x, 6) as x, round(y, 6) as y from hits")
     add("boundary_nodes", lambda s, d: line_graph(s, d)[2].filter("kind = 'boundary'").select("image_id", "line_id", "node_id", r6("x").alias("x"), r6("y").alias("y")), cte("lines", **GRAPH) + "select image_id, line_id, 'B' || n as node_id, round(x, 6) as x, round(y, 6) as y from bound")
     add("line_segments", lambda s, d: lines.line_segments(line_graph(s, d)[2]).select("image_id", "seg_id", "line_index", "from_node", "to_node", "length"), cte("lines", **GRAPH) + "select image_id, 'S' || (row_number() over (partition by image_id order by line_id, pos) - 1) as seg_id, line_id as line_index, node_id as from_node, to_id as to_node, round_even(size, 2) as length from once")
+    dark = cte("pixels", "small_lines", **SMALL)
+    add("boundary_nodes_black", lambda s, d: dark_graph(s, d)[0].filter("kind = 'boundary'").select("image_id", "line_id", "node_id", r6("x").alias("x"), r6("y").alias("y")), dark + "select image_id, line_id, 'B' || n as node_id, round(x, 6) as x, round(y, 6) as y from bound")
+    add("line_segments_black", lambda s, d: dark_graph(s, d)[1].select("image_id", "seg_id", "line_index", "from_node", "to_node", "length"), dark + "select image_id, 'S' || (row_number() over (partition by image_id order by line_id, pos) - 1) as seg_id, line_id as line_index, node_id as from_node, to_id as to_node, round_even(size, 2) as length from once")
     add("geo_document_counts", geo_counts, cte("lines", **GRAPH) + "select l.image_id, l.c as line_count, n.c as node_count, coalesce(s.c, 0) as segment_count from (select image_id, count(*) as c from lines group by 1) l join (select image_id, count(distinct node_id) as c from all_nodes group by 1) n on n.image_id = l.image_id left join (select image_id, count(*) as c from once group by 1) s on s.image_id = l.image_id")
 
     # comparison
-    graphs = cte("nodes", "segments", degrees=DEGREES, moves=MOVES, costs=COSTS)
-    add("node_degree", lambda s, d: compare.node_degrees(fx.nodes(s, d), fx.segments(s, d)).select("image_id", "node_id", "degree"), graphs + "select image_id, node_id, degree from degrees")
-    add("kind_translation", lambda s, d: compare.translations(fx.nodes(s, d), 1).select("image_id", "kind", r6("tx").alias("tx"), r6("ty").alias("ty")), graphs + "select image_id, kind, round(tx, 6) as tx, round(ty, 6) as ty from moves")
-    add("node_cost", lambda s, d: compare.node_costs(compare.node_degrees(fx.nodes(s, d), fx.segments(s, d)), compare.translations(fx.nodes(s, d), 1), 1).withColumn("cost", r4("cost")), graphs + "select image_id, kind, ref_node, tgt_node, round(cost, 4) as cost from costs")
-    whole = "(select image_id from nodes group by 1 having count(*) = 12)"
-    add("node_assignment", lambda s, d: assigned(s, d).groupBy("image_id", "kind").agg(F.count(F.lit(1)).alias("n_pairs"), r4(F.sum("cost")).alias("total")), cte("nodes", "segments", degrees=DEGREES, moves=MOVES, costs=COSTS, numbered=f"select * from ({NUMBERED}) where image_id in {whole}", **subsets_sql()) + "select image_id, kind, n_pairs, round(total, 4) as total from cheapest")
+    geo_nodes = cte("nodes", "segments", degrees=DEGREES, moves=MOVES, costs=COSTS)
+    add("node_degree", lambda s, d: compare.node_degrees(fx.nodes(s, d), fx.segments(s, d)).select("image_id", "node_id", "degree"), geo_nodes + "select image_id, node_id, degree from degrees")
+    add("kind_translation", lambda s, d: compare.translations(fx.nodes(s, d), 1).select("image_id", "kind", r6("tx").alias("tx"), r6("ty").alias("ty")), geo_nodes + "select image_id, kind, round(tx, 6) as tx, round(ty, 6) as ty from moves")
+    add("node_cost", lambda s, d: compare.node_costs(compare.node_degrees(fx.nodes(s, d), fx.segments(s, d)), compare.translations(fx.nodes(s, d), 1), 1).withColumn("cost", r4("cost")), geo_nodes + "select image_id, kind, ref_node, tgt_node, round(cost, 4) as cost from costs")
+    add("node_assignment", lambda s, d: assigned(s, d).groupBy("image_id", "kind").agg(F.count(F.lit(1)).alias("n_pairs"), r4(F.sum("cost")).alias("total")), cte("nodes", "segments", degrees=DEGREES, moves=MOVES, costs=COSTS, ranked=RANKED, numbered=NUMBERED, **subsets_sql()) + "select image_id, kind, n_pairs, round(total, 4) as total from cheapest")
     geo = cte("nodes", "segments", geometry=GEOMETRY, matched=MATCHED, moved=MOVED)
     add("segment_match", lambda s, d: moved(s, d).select("image_id", "ref_segment", "target_segment"), geo + "select image_id, ref_segment, target_segment from matched")
     add("segment_transform", lambda s, d: moved(s, d).select("image_id", "ref_segment", "target_segment", r4("rotation_deg").alias("rotation_deg"), r4("translation_midpoint_xy.x").alias("mid_x"), r4("translation_midpoint_xy.y").alias("mid_y"), r4("rigid_translation_xy.x").alias("rigid_x"), r4("rigid_translation_xy.y").alias("rigid_y"), r4("length_ratio").alias("length_ratio")), geo + "select * from moved")
-    add("comparison_summary", lambda s, d: compare.comparison_documents(*whole_graphs(s, d), 1).drop("node_mapping", "segment_matches"), None)
+    add("comparison_summary", lambda s, d: compare.comparison_documents(*graphs(s, d), 1).drop("node_mapping", "segment_matches"), None)
     add("console_report", lambda s, d: report(moved(s, d)), None)
     add("draw_list", lambda s, d: draw.result_shapes(fx.segments(s, d), fx.nodes(s, d)), cte("nodes", "segments") + "select image_id, 1 as z, 'line' as shape, x0, y0, x1, y1, 255 as color from segments union all select image_id, 2, 'dot', round_even(x, 0)::bigint, round_even(y, 0)::bigint, round_even(x, 0)::bigint, round_even(y, 0)::bigint, case kind when 'crossing' then 65280 else 16776960 end from nodes")
 
@@ -317,8 +346,6 @@ def geo_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report(matches: DataFrame) -> DataFrame:
-    from stipple.functions.scalars import report_line
-
     t = F.col("translation_midpoint_xy")
     return matches.select("image_id", report_line(F.col("ref_segment"), F.col("target_segment"), F.col("rotation_deg"), t["x"], t["y"], F.col("length_ratio")).alias("line"))
 

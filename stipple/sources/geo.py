@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 GEO = (
     "source string, width long, height long, inner_rect array<long>, line_count long, node_count long, segment_count long, "
@@ -22,10 +23,9 @@ def read_geo(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(GEO).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
     must = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.concat(F.lit(f"no {c} in "), F.col("path")))).otherwise(F.col(c))
     empty = lambda c: F.coalesce(F.col(c), F.from_json(F.lit("[]"), raw.schema[c].dataType.simpleString()))
-    paths = raw.select("path").distinct().orderBy("path")
-    order = {r["path"]: i for i, r in enumerate(paths.collect())}  # one row for each document that is compared
-    ids = spark.createDataFrame(list(order.items()), "path string, image_id long")
-    return raw.join(F.broadcast(ids), "path").select("image_id", "path", F.coalesce("source", "path").alias("source"), must("width").alias("width"), must("height").alias("height"), F.coalesce("inner_rect", F.array(*[F.lit(0).cast("long")] * 4)).alias("inner_rect"), *[empty(c).alias(c) for c in ("lines", "nodes", "segments")])
+    # only paths are put in order, not the documents
+    ids = raw.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("image_id"))
+    return raw.join(ids, "path").select("image_id", "path", F.coalesce("source", "path").alias("source"), must("width").alias("width"), must("height").alias("height"), F.coalesce("inner_rect", F.array(*[F.lit(0).cast("long")] * 4)).alias("inner_rect"), *[empty(c).alias(c) for c in ("lines", "nodes", "segments")])
 
 
 def geo_nodes(docs: DataFrame) -> DataFrame:

@@ -44,9 +44,10 @@ def has_image_suffix(path: Column) -> Column:
 
 
 def read_images(spark: SparkSession, path: str, stem_suffix: str | None = None) -> DataFrame:
-    """Images of a file or of a folder (not of those below it), in the order of their paths.
+    """Images of a file or of a folder (not of those below it).
 
-    Columns origin, height, width, channels and data (BGR, row after row).  A file that can't be decoded fails when
+    Columns image_id (a 64-bit number made of the path, so that it stays the same wherever the image is read), origin,
+    height, width, channels and data (BGR, row after row).  Rows have no order; ``orderBy("origin")`` gives one.  A file that can't be decoded fails when
     it is read.  stem_suffix keeps the files whose name, without its suffix, ends so.
     """
     raw = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", False).load(path)
@@ -54,12 +55,12 @@ def read_images(spark: SparkSession, path: str, stem_suffix: str | None = None)
     if stem_suffix:
         out = out.filter(F.regexp_replace("origin", r"\.[^./]*$", "").endswith(stem_suffix))
     bad = F.raise_error(F.concat(F.lit("not an image: "), F.col("origin")))
-    return out.select("origin", F.when(F.col("height") < 0, bad).otherwise(F.col("height")).alias("height"), "width", F.col("nChannels").alias("channels"), "data")
+    return out.select(F.xxhash64("origin").alias("image_id"), "origin", F.when(F.col("height") < 0, bad).otherwise(F.col("height")).alias("height"), "width", F.col("nChannels").alias("channels"), "data")
 
 
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
     """Hole masks (*_holes_bw.png) as binary pixels, one byte each."""
-    return to_gray(read_images(spark, path, "_holes_bw")).select("origin", "height", "width", "data").transform(lambda df: _each(df, lambda a: (a > 127).astype(np.uint8) * 255))
+    return to_gray(read_images(spark, path, "_holes_bw")).select("image_id", "origin", "height", "width", "data").transform(lambda df: _each(df, lambda a: (a > 127).astype(np.uint8) * 255))
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
