@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm.common import column, prepare
+from stipple.llm.common import column, kind_of, prepare
 
 #: Distinct pre-tokens in each of the two generations that a worker remembers, about 250 bytes each.
 CACHE_ENTRIES = 250_000
@@ -207,7 +207,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_c
         cols.append(F.col(f"`{carry}`").alias("carried"))
     src = docs.select(*cols)
     head = ["doc_id", *(["carried"] if carry else [])]
-    ddl = ", ".join([*(f"{c} {src.schema[c].dataType.simpleString()}" for c in head), *(f"{c} {spark_kinds[c]}" for c in outputs)])
+    ddl = ", ".join([*(f"{c} {kind_of(src.schema[c].dataType)}" for c in head), *(f"{c} {spark_kinds[c]}" for c in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Bytes of one Arrow batch, about.  Texts can be long, so a batch must stay small enough for a Python worker, while
 #: batches of numbers may hold as many rows as the session says.
@@ -128,6 +129,17 @@ def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
         return finish(out[: len(w) - n + 1])
 
 
+def kind_of(kind: DataType) -> str:
+    """A type as DDL, with the names of its fields quoted, so that they may hold any character."""
+    if isinstance(kind, StructType):
+        return "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{kind_of(f.dataType)}" for f in kind.fields) + ">"
+    if isinstance(kind, ArrayType):
+        return f"array<{kind_of(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{kind_of(kind.keyType)},{kind_of(kind.valueType)}>"
+    return kind.simpleString()
+
+
 def column(df: DataFrame, name: str, kind: str) -> F.Column:
     """A column by its exact name, cast; quoted, so that dots in a name do no harm."""
     return F.col(f"`{name}`").cast(kind)

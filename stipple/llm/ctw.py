@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm.common import column, cut, drop, lower_words, prepare, sweep, table
+from stipple.llm.common import column, cut, drop, kind_of, lower_words, prepare, sweep, table
 
 #: Bytes of context at the deepest level of the tree, 3 to 6: a run of these and the byte after them fits 63 bits.
 DEPTH = 5
@@ -22,7 +22,7 @@ SLICE = 4_000_000
 #: Runs that are worked on at once, if those of one context of three bytes are not more.
 CHUNK = 100_000
 #: Distinct runs that a task holds while it gathers them; what it tells is summed up after the shuffle.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Words, the most frequent ones, whose counts each worker holds (16 bytes each); others are joined.
 HEAD = 1 << 18
 _WORDS, _RUNS = 0, 1
@@ -348,7 +348,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     model = byte_model(gathered.filter(F.col("kind") == _RUNS).select("key", "n")) if runs_seen else None
     rows = src.select("doc_id", "text", (~F.col("train")).alias("held_out")).withColumn("rid", F.monotonically_increasing_id())
-    kind = src.schema["doc_id"].dataType.simpleString()
+    kind = kind_of(src.schema["doc_id"].dataType)
 
     def scored(b: pa.RecordBatch, lookup: Lookup | None) -> pa.RecordBatch:
         keys, counts = head_keys.value
@@ -431,7 +431,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _doc_type(src: DataFrame) -> str:
-    return f"doc_id:{src.schema['doc_id'].dataType.simpleString()},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double,size:bigint"
+    return f"doc_id:{kind_of(src.schema['doc_id'].dataType)},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double,size:bigint"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

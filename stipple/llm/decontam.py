@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm.common import cut, drop, finish, gathered, prepare, table
+from stipple.llm.common import cut, drop, finish, gathered, kind_of, prepare, table
 
 #: Edits of words that a passage may have, as a share of the item's words (rounded down).
 EDITS = 0.2
@@ -267,7 +267,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     spark = docs.sparkSession
     prepare(spark)
     ask = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).filter(F.length(F.trim("text")) > 0)
-    kind = ask.schema["item_id"].dataType.simpleString()
+    kind = kind_of(ask.schema["item_id"].dataType)
     blocks = max(1, -(-ask.count() // BLOCK_ITEMS))
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"))
     leaks = f"array<struct<item_id:{kind},edits:int,start:int,n_words:int>>"
@@ -287,7 +287,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
                 of = {"kept": b.column("kept"), "text": b.column("text"), "leaks": pa.array(leaks, b.schema.field("leaks").type)}
                 yield pa.RecordBatch.from_arrays([of[n] for n in names], names=names)
 
-        out = out.mapInArrow(run, ", ".join({"kept": f"kept {src.schema['kept'].dataType.simpleString()}", "text": "text string", "leaks": f"leaks {leaks}"}[n] for n in names))
+        out = out.mapInArrow(run, ", ".join({"kept": f"kept {kind_of(src.schema['kept'].dataType)}", "text": "text string", "leaks": f"leaks {leaks}"}[n] for n in names))
         if block < blocks - 1:  # one block at a time: the next begins when this one's items are gone
             out = cut(out)
             shared.destroy()

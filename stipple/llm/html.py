@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm.common import column, cut, prepare, table
+from stipple.llm.common import column, cut, kind_of, prepare, table
 
 # What HTML says of its elements, and names by which pages mark what isn't their main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -344,7 +344,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     else:  # a template too large for a row: every page meets the tokens that it has itself, which decide alike
         has = pages_.mapInArrow(_tokens, _TOKENS).select("host", "role", "page").distinct()
         own = has.join(found, ["host", "role"]).groupBy("page").agg(F.max("pages").alias("pages"), F.collect_list(entry).alias("template"))
-        both = src.mapInArrow(_keyed, f"page_id {src.schema['page_id'].dataType.simpleString()}, __url string, __html string, host string, page long").join(own, "page", "left")
+        both = src.mapInArrow(_keyed, f"page_id {kind_of(src.schema['page_id'].dataType)}, __url string, __html string, host string, page long").join(own, "page", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}
@@ -360,7 +360,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(parse(text or "")[0], known[h]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("__url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return both.mapInArrow(run, f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return both.mapInArrow(run, f"page_id {kind_of(src.schema['page_id'].dataType)}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stipple.llm.common import cut, drop, finish, gram_hashes, lower_words, prepare, sweep, table
+from stipple.llm.common import cut, drop, finish, gram_hashes, kind_of, lower_words, prepare, sweep, table
 from stipple.llm.components import components
 from stipple.llm.substrings import word_hashes
 
@@ -309,7 +309,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     src = _keyed(docs, id_col, text_col)
-    kind = src.schema["doc_id"].dataType.simpleString()
+    kind = kind_of(src.schema["doc_id"].dataType)
     written = cut(src.mapInArrow(_survey, f"doc_id {kind}, row1 long, row2 long, sig long, other long, n long, bits array<long>, token long, times long"))
     survey, twins = _number(written)
     ids = survey.filter("row1 is not null").select("doc_id", "row1", "row2", "sig", "n")

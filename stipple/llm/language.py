@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from stipple.llm import html
-from stipple.llm.common import cut, prepare, table
+from stipple.llm.common import cut, kind_of, prepare, table
 
 #: Bits of the hash of a byte trigram.
 BITS = 15
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
                 lang.append(m.langs[best] if share >= LEAST else None)
             yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(alone, pa.string()), b.column("declared"), pa.array(gone, pa.bool_())], names=["kept", "detected", "posterior", "text_lang", "declared", "rejected"])
 
-    return judged.mapInArrow(fuse, f"kept {src.schema['kept'].dataType.simpleString()}, detected string, posterior double, text_lang string, declared string, rejected boolean")
+    return judged.mapInArrow(fuse, f"kept {kind_of(src.schema['kept'].dataType)}, detected string, posterior double, text_lang string, declared string, rejected boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm.common import cut, drop, finish, gram_hashes, prepare, sweep, table, words
+from stipple.llm.common import cut, drop, finish, gram_hashes, kind_of, prepare, sweep, table, words
 
 #: Words of a window, and of the runs of words (grams) of which each window's least stands for it.
 WINDOW, GRAM = 35, 14
@@ -316,7 +316,7 @@ def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_
                     of[c].append(hashlib.sha256(whole).hexdigest() if c == "kept_sha256" else whole.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), *(pa.array(of[c], kinds[c]) for c in outputs)], names=["kept", "n_words", "n_removed", *outputs])
 
-    ddl = ", ".join([f"kept {src.schema['kept'].dataType.simpleString()}", "n_words long", "n_removed long", *(f"{c} string" for c in outputs)])
+    ddl = ", ".join([f"kept {kind_of(src.schema['kept'].dataType)}", "n_words long", "n_removed long", *(f"{c} string" for c in outputs)])
     return src.join(passages, ["key", "twin"], "left").select("kept", "text", "passages").mapInArrow(take, ddl)
 
 

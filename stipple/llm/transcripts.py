@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stipple.llm.common import cut, prepare, table
+from stipple.llm.common import cut, kind_of, prepare, table
 
 ROLES = ("system", "user", "assistant")
 #: States: a role's first line and its further lines.
@@ -210,7 +210,7 @@ def parse_transcripts(transcripts: DataFrame, model: Model, id_col: str = "id",
                     take.append(i), turn.append(k), role.append(r), texts.append(x), shown.append(render(r, x))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(take, pa.int64())), pa.array(turn, pa.int32()), *(pa.array(x, pa.string()) for x in (role, texts, shown))], names=["id", "turn", "role", "text", "rendered"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, turn int, role string, text string, rendered string")
+    return src.mapInArrow(run, f"id {kind_of(src.schema['id'].dataType)}, turn int, role string, text string, rendered string")
 
 
 def held_out(conv: Column) -> Column:
@@ -292,7 +292,7 @@ def recover_roles(conversations: DataFrame, model: Model) -> DataFrame:
     src = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text")).distinct()
     order = ["conv", "turn", "hash"]
     pages = cut(src.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).withColumn("page", F.spark_partition_id()))
-    kind = src.schema["conv"].dataType.simpleString()
+    kind = kind_of(src.schema["conv"].dataType)
     sorted_ = pages.repartition("page").sortWithinPartitions("page", *order, "text").select("page", "conv", "turn", "text")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
