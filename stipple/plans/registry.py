@@ -259,7 +259,7 @@ def registry() -> dict[str, Entry]:
     add(
         "gauss_adaptive_threshold",
         lambda s, d: pixels.gauss_threshold(fx.dense(s, d), blur, 7),
-        cte("pixels", grid=grid, mean=f"select g.image_id, g.x, g.y, g.v, round_even(round(sum(h.v * a.w * b.w), 9), 0)::bigint as mean from grid g, {weight} a(i, w), {weight} b(j, w), grid h where h.image_id = g.image_id and h.x = least(greatest(g.x + a.i, 0), {N - 1}) and h.y = least(greatest(g.y + b.j, 0), {N - 1}) group by all") + "select image_id, x, y, v, mean, v - mean <= -7 as hole from mean",
+        cte("pixels", grid=grid, across=f"select g.image_id, g.x, g.y, g.v, sum(h.v * a.w) as s from grid g, {weight} a(i, w), grid h where h.image_id = g.image_id and h.x = least(greatest(g.x + a.i, 0), {N - 1}) and h.y = g.y group by all", mean=f"select g.image_id, g.x, g.y, g.v, round_even(round(sum(h.s * b.w), 9), 0)::bigint as mean from across g, {weight} b(j, w), across h where h.image_id = g.image_id and h.x = g.x and h.y = least(greatest(g.y + b.j, 0), {N - 1}) group by all") + "select image_id, x, y, v, mean, v - mean <= -7 as hole from mean",
     )
     add("pixel_components", labels, regions() + "select image_id, x, y, label from labels")
     add("component_stats", lambda s, d: pixels.region_stats(labels(s, d)).withColumns({"cx": r6("cx"), "cy": r6("cy")}), regions() + 'select image_id, label, "left", "top", width, height, area, round(cx, 6) as cx, round(cy, 6) as cy from stats')
