@@ -222,6 +222,13 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from shard.out
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each text (start << 32 | stop), those that overlap or touch as one."""
+    for b in batches:
+        own = [[x << 32 | y for x, y in merged([(p >> 32, p & 0xFFFFFFFF) for p in spans])] for spans in b.column("passages").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("twin"), pa.array(own, pa.list_(pa.int64()))], names=["key", "twin", "passages"])
+
+
 def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", outputs: tuple[str, ...] = ("kept_text",)) -> DataFrame:
     """Remove from every whole text each word in a window of WINDOW words that also starts anywhere else.
 
@@ -289,7 +296,7 @@ def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_
     across = located.filter("code1 is not null").groupBy("code1", "code2").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("key", "twin", "start")).alias("at")).filter("n > 1")
     more = across.select(F.explode("at").alias("x")).filter("x.key is not null").select("x.key", "x.twin", "x.start", (F.col("x.start") + WINDOW).alias("stop"))
     passages = located.filter("code1 is null").select("key", "twin", "start", "stop").unionByName(more).groupBy("key", "twin").agg(F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")).alias("passages"))
-    passages = cut(passages)
+    passages = cut(passages.mapInArrow(_joined, "key long, twin long, passages array<long>"))
     drop(located)
     sweep(spark)
     if (passages.agg(F.sum(F.size("passages"))).first()[0] or 0) <= BROADCAST_PASSAGES:
