@@ -10,39 +10,48 @@ from pyspark.sql import functions as F
 from stipple.functions import kernels
 
 
-def _near(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Pairs of different points in the same or neighbouring cells of the image's grid (column cell): an equi-join."""
-    grid = points.join(cells, "image_id")
+def _near(points: DataFrame, cells: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs u, v of points in the same or neighbouring cells of the image's grid (column cell): an equi-join.
+
+    Each point is also paired with itself.  asked: the points to take as u, all unless given.  Points are joined
+    by merges: files of points are far smaller than their rows, and a join that trusts the files' size would send all
+    points to the driver.
+    """
     at = lambda c: F.floor(F.col(c) / F.col("cell"))
-    left = grid.select("image_id", F.col("pid").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"), "cell", at("x").alias("gx"), at("y").alias("gy"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    right = grid.select("image_id", F.col("pid").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), at("x").alias("gx"), at("y").alias("gy"), around.alias("o"))
-    right = right.select("image_id", "v", "vx", "vy", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
+    left = (points if asked is None else asked).hint("merge").join(cells, "image_id").select("image_id", F.col("pid").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"), at("x").alias("gx"), at("y").alias("gy"), around.alias("o"))
+    left = left.select("image_id", "u", "ux", "uy", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
+    more = [c for c in cells.columns if c != "image_id"]
+    right = points.hint("merge").join(cells, "image_id").select("image_id", F.col("pid").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), *more, at("x").alias("gx"), at("y").alias("gy"))
     d = F.sqrt((F.col("ux") - F.col("vx")) ** 2 + (F.col("uy") - F.col("vy")) ** 2)
-    return left.join(right, ["image_id", "gx", "gy"]).filter("u <> v").select("image_id", "u", "v", d.alias("d"), "cell")
+    return left.hint("merge").join(right, ["image_id", "gx", "gy"]).select("image_id", "u", "ux", "uy", "v", d.alias("d"), *more)
 
 
 def nearest_neighbours(points: DataFrame, rounds: int = 40) -> DataFrame:
     """Distance of each point (image_id, pid, x, y) to its nearest other; none for a point that is alone.
 
-    Cells of the size that one point in each would have; a distance up to a cell's size is exact, and only the
-    points without one look again, in cells twice as large.
+    Cells of the size that four points in each would have; a distance up to a cell's size is exact, and only the
+    points without one look again, in cells twice as large.  A round keeps the points that it leaves open beside
+    those that are sure, so that no table of points is joined by its key.
     """
-    size = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
-    size = size.filter("n > 1").withColumn("cell", F.greatest(F.col("span") / F.sqrt("n"), F.lit(1e-9))).withColumn("span", F.greatest("span", F.lit(1e-9)))
-    left, out, factor = points, None, 1.0
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    size = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), wide.alias("w"), high.alias("h"))
+    size = size.filter("n > 1").withColumn("span", F.greatest("w", "h"))
+    size = size.select("image_id", "span", F.greatest(F.sqrt(F.col("w") * F.col("h") / F.col("n")) * 2, F.col("span") / F.col("n"), F.lit(1e-9)).alias("cell"))
+    asked, out, factor = None, None, 1.0
     for _ in range(rounds):
-        cells = size.select("image_id", (F.col("cell") * factor).alias("cell"))
-        asked = left.select("image_id", F.col("pid").alias("u"))
-        near = _near(points, cells).join(asked, ["image_id", "u"], "left_semi").groupBy("image_id", "u").agg(F.min("d").alias("d"), F.first("cell").alias("cell"))
-        sure = near.filter(F.col("d") <= F.col("cell")).select("image_id", F.col("u").alias("pid"), "d")
-        sure = sure.persist()
-        out = sure if out is None else out.unionByName(sure)
-        left = left.join(sure, ["image_id", "pid"], "left_anti").join(size.select("image_id"), "image_id", "left_semi")
-        if left.isEmpty():
+        cells = size.withColumn("cell", F.col("cell") * factor)
+        other = F.min(F.when(F.col("u") != F.col("v"), F.col("d")))
+        near = _near(points, cells, asked).groupBy("image_id", "u", "ux", "uy").agg(other.alias("d"), F.first("cell").alias("cell"), F.first("span").alias("span"))
+        sure = F.coalesce(F.col("d") <= F.col("cell"), F.lit(False)) | (F.col("cell") >= F.col("span") * 1.5)  # beyond that all points of the image are met
+        near = near.select("image_id", F.col("u").alias("pid"), F.col("ux").alias("x"), F.col("uy").alias("y"), "d", sure.alias("sure")).persist()
+        found = near.filter("sure and d is not null").select("image_id", "pid", "d")
+        out = found if out is None else out.unionByName(found)
+        asked = near.filter("not sure").select("image_id", "pid", "x", "y")
+        if asked.count() == 0:
             break
         factor *= 2
-    return out
+    return out.groupBy("image_id", "pid").agg(F.min("d").alias("d"))
 
 
 def spacing(neighbours: DataFrame, strict: bool = False) -> DataFrame:
@@ -55,9 +64,9 @@ def spacing(neighbours: DataFrame, strict: bool = False) -> DataFrame:
 
 def annulus_edges(points: DataFrame, spacings: DataFrame, low: float = 0.70, high: float = 1.55) -> DataFrame:
     """Undirected edges u < v with a distance from low to high spacings, both included."""
-    cells = spacings.select("image_id", (F.col("spacing") * high).alias("cell"))
-    bound = spacings.select("image_id", (F.col("spacing") * low).alias("least"), (F.col("spacing") * high).alias("most"))
-    return _near(points, cells).filter("u < v").join(bound, "image_id").filter("d between least and most").select("image_id", "u", "v", "d")
+    least, most = F.col("spacing") * low, F.col("spacing") * high
+    cells = spacings.select("image_id", F.greatest(most, F.lit(1e-9)).alias("cell"), least.alias("least"), most.alias("most"))
+    return _near(points, cells).filter("u < v and d between least and most").select("image_id", "u", "v", "d")
 
 
 def point_components(edges: DataFrame) -> DataFrame:

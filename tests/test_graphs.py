@@ -137,6 +137,26 @@ def test_neighbours_with_copies_and_far_points(spark):
     assert s[2] == 0.0 and 3 not in s
 
 
+@pytest.fixture(scope="module")
+def grid(spark, tmp_path_factory):
+    """Six images of 5 x 5 holes, ten apart, each with one hole far off, from files whose size tells little of their rows."""
+    rows = [(i, i * 100 + k, 10.0 * (k % 5), 10.0 * (k // 5)) for i in range(6) for k in range(25)] + [(i, i * 100 + 99, 900.0, 40.0) for i in range(6)]
+    folder = str(tmp_path_factory.mktemp("grid"))
+    spark.createDataFrame(rows, "image_id long, pid long, x double, y double").write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def planned(df):
+    """The plan, with those of the tables that it keeps."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_broadcast_no_points(grid):
+    out = points.nearest_neighbours(grid)
+    assert "BroadcastExchange" not in planned(out)
+    assert sorted(r["d"] for r in out.collect()) == [10.0] * 150 + [860.0] * 6
+
+
 def test_empty_images_stay(spark):
     images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
     rows = [(1, i, 10.0 + 10 * (i % 3), 10.0 + 10 * (i // 3)) for i in range(9)] + [(2, 0, 5.0, 5.0), (2, 1, 8.0, 8.0)]
