@@ -157,6 +157,18 @@ def test_neighbours_broadcast_no_points(grid):
     assert sorted(r["d"] for r in out.collect()) == [10.0] * 150 + [860.0] * 6
 
 
+def test_edges_broadcast_no_points(grid):
+    edges = points.annulus_edges(grid, points.spacing(points.nearest_neighbours(grid)))
+    assert "BroadcastExchange" not in planned(edges) and edges.count() == 6 * 72
+
+
+def test_copies_of_points_have_edges_at_spacing_zero(spark):
+    rows = [(1, i, 5.0, 5.0 + 9 * (i == 3)) for i in range(4)]
+    df = spark.createDataFrame(rows, "image_id long, pid long, x double, y double")
+    spacings = points.spacing(points.nearest_neighbours(df))
+    assert sorted((r["u"], r["v"], r["d"]) for r in points.annulus_edges(df, spacings).collect()) == [(0, 1, 0.0), (0, 2, 0.0), (1, 2, 0.0)]
+
+
 def test_empty_images_stay(spark):
     images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
     rows = [(1, i, 10.0 + 10 * (i % 3), 10.0 + 10 * (i // 3)) for i in range(9)] + [(2, 0, 5.0, 5.0), (2, 1, 8.0, 8.0)]
