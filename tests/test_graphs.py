@@ -180,6 +180,11 @@ def test_component_sizes_broadcast_no_points(grid):
     assert sorted(tuple(r) for r in out.select("image_id", "comp_id", "n_points").collect()) == [(i, i * 100, 25) for i in range(6)]
 
 
+def test_spacings_broadcast_no_points(grid):
+    out = points.spacing(points.nearest_neighbours(grid))
+    assert "BroadcastExchange" not in planned(out) and {r["spacing"] for r in out.collect()} == {10.0}
+
+
 def test_empty_images_stay(spark):
     images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
     rows = [(1, i, 10.0 + 10 * (i % 3), 10.0 + 10 * (i // 3)) for i in range(9)] + [(2, 0, 5.0, 5.0), (2, 1, 8.0, 8.0)]
