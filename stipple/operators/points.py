@@ -94,21 +94,27 @@ def hulls(members: DataFrame, points: DataFrame, spacings: DataFrame, least: int
     """Regions: the hull of each component's points (rounded half to even), its area, perimeter and simplification.
 
     Components of fewer points than `least` (or 3), and hulls below max(12, spacing^2 * area_share), are dropped.
+    An image's components come in one frame, and points meet their component by merges, as in _near().
     """
-    own = members.join(points, ["image_id", "pid"]).join(spacings, "image_id")
+    own = members.hint("merge").join(points, ["image_id", "pid"]).hint("merge").join(spacings, "image_id").select("image_id", "comp_id", "x", "y", "spacing")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < max(3, least):
-            return pd.DataFrame(columns=[c.split()[0] for c in HULL.split(", ")])
-        corner = kernels.convex_hull(np.rint(pdf[["x", "y"]].to_numpy()).astype(np.int64))
-        s, area, size = float(pdf["spacing"].iloc[0]), kernels.polygon_area(corner), kernels.polygon_perimeter(corner)
-        if len(corner) < 3 or area < max(12.0, s * s * area_share):
-            return pd.DataFrame(columns=[c.split()[0] for c in HULL.split(", ")])
-        small = kernels.simplify(corner, max(max(eps_min, s * eps), size * poly_eps))
+        image, s, rows = pdf["image_id"].iloc[0], float(pdf["spacing"].iloc[0]), []
+        ids, sizes = np.unique(pdf["comp_id"].to_numpy(), return_counts=True)
+        at = np.rint(pdf[["x", "y"]].to_numpy()).astype(np.int64)[np.argsort(pdf["comp_id"].to_numpy(), kind="stable")]
         shape = lambda p: [{"x": int(x), "y": int(y)} for x, y in p]
-        return pd.DataFrame([{"image_id": pdf["image_id"].iloc[0], "comp_id": pdf["comp_id"].iloc[0], "n_points": len(pdf), "area": area, "perimeter": size, "hull": shape(corner), "simplified": shape(small)}])
-
-    return own.groupBy("image_id", "comp_id").applyInPandas(run, HULL)
+        for comp, n, end in zip(ids.tolist(), sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+            if n < max(3, least):
+                continue
+            corner = kernels.convex_hull(at[end - n : end])
+            area, size = kernels.polygon_area(corner), kernels.polygon_perimeter(corner)
+            if len(corner) < 3 or area < max(12.0, s * s * area_share):
+                continue
+            small = kernels.simplify(corner, max(max(eps_min, s * eps), size * poly_eps))
+            rows.append({"image_id": image, "comp_id": comp, "n_points": n, "area": area, "perimeter": size, "hull": shape(corner), "simplified": shape(small)})
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in HULL.split(", ")])
+
+    return own.groupBy("image_id").applyInPandas(run, HULL)
 
 
 def polygon_area(polygons: DataFrame, column: str = "hull") -> DataFrame:

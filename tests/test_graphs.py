@@ -185,6 +185,14 @@ def test_spacings_broadcast_no_points(grid):
     assert "BroadcastExchange" not in planned(out) and {r["spacing"] for r in out.collect()} == {10.0}
 
 
+def test_hulls_broadcast_no_points(grid):
+    spacings = points.spacing(points.nearest_neighbours(grid))
+    out = points.polygon_perimeter(points.polygon_area(points.hulls(points.point_components(points.annulus_edges(grid, spacings)), grid, spacings)))
+    assert "BroadcastExchange" not in planned(out)
+    got = [(r["comp_id"], r["n_points"], r["shoelace"], r["around"], len(r["simplified"])) for r in out.orderBy("image_id").collect()]
+    assert got == [(i * 100, 25, 1600.0, 160.0, 4) for i in range(6)]
+
+
 def test_empty_images_stay(spark):
     images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
     rows = [(1, i, 10.0 + 10 * (i % 3), 10.0 + 10 * (i // 3)) for i in range(9)] + [(2, 0, 5.0, 5.0), (2, 1, 8.0, 8.0)]
