@@ -131,6 +131,16 @@ def polygon_perimeter(polygons: DataFrame, column: str = "hull") -> DataFrame:
     return polygons.withColumn("around", F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), side), F.lit(0.0), lambda a, x: a + x))
 
 
+def _drawn(shapes, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """The union of polygons, filled and outlined."""
+    full, line = np.zeros((height, width), bool), np.zeros((height, width), bool)
+    for corners in shapes:
+        p = np.array([(c["x"], c["y"]) for c in corners], np.int64)
+        full |= kernels.fill_polygon((height, width), p)
+        line |= kernels.draw_polygon((height, width), p)
+    return full, line
+
+
 def rasterise(regions: DataFrame, width: int, height: int) -> DataFrame:
     """For each image the union of its regions: filled (instances), outlined (boundary) and as signatures of 180.
 
@@ -138,11 +148,7 @@ def rasterise(regions: DataFrame, width: int, height: int) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        full, line = np.zeros((height, width), bool), np.zeros((height, width), bool)
-        for corners in pdf["simplified"]:
-            p = np.array([(c["x"], c["y"]) for c in corners], np.int64)
-            full |= kernels.fill_polygon((height, width), p)
-            line |= kernels.draw_polygon((height, width), p)
+        full, line = _drawn(pdf["simplified"], width, height)
         as_bytes = lambda m, v: (m.astype(np.uint8) * v).tobytes()
         return pd.DataFrame([{"image_id": pdf["image_id"].iloc[0], "instances": as_bytes(full, 255), "boundary": as_bytes(line, 255), "signature": as_bytes(full, 180)}])
 
@@ -163,7 +169,15 @@ def region_masks(images: DataFrame, points: DataFrame, width: int, height: int,
     enough = points.join(counts.filter("centres >= 4").select("image_id"), "image_id", "left_semi")
     s = spacing(nearest_neighbours(enough))
     members = point_components(annulus_edges(enough, s, p.min_r, p.max_r))
-    masks = rasterise(hulls(members, enough, s, p.min_points, p.hull_area, p.eps, p.eps_min, p.poly_eps), width, height)
-    own = F.col("boundary" if kind == "line" else "instances")
-    blank = F.unhex(F.repeat(F.lit("00"), width * height))  # made where it is needed, not in the plan
-    return images.select("image_id").distinct().join(counts, "image_id", "left").join(masks, "image_id", "left").select("image_id", F.coalesce("centres", F.lit(0)).alias("centres"), F.coalesce(own, blank).alias("mask"))
+    regions = hulls(members, enough, s, p.min_points, p.hull_area, p.eps, p.eps_min, p.poly_eps).groupBy("image_id").agg(F.collect_list(F.struct("simplified")).alias("shapes"))
+    rows = images.select("image_id").distinct().join(counts, "image_id", "left").join(regions, "image_id", "left").select("image_id", F.coalesce("centres", F.lit(0)).cast("long").alias("centres"), "shapes")
+
+    def run(frames):
+        for pdf in frames:
+            for image, centres, shapes in pdf.itertuples(index=False):
+                full, outline = _drawn([] if shapes is None else [r["simplified"] for r in shapes], width, height)
+                yield pd.DataFrame({"image_id": [image], "centres": [centres], "mask": [((outline if kind == "line" else full).astype(np.uint8) * 255).tobytes()]})
+
+    # corners move, masks don't; by number, as few bytes of corners make many masks, which must not meet in one task
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    return spread.mapInPandas(run, f"image_id {rows.schema['image_id'].dataType.simpleString()}, centres long, mask binary")

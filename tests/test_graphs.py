@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stipple.functions import kernels
 from stipple.operators import compare, draw, lines, points, series
@@ -193,6 +194,23 @@ def test_hulls_broadcast_no_points(grid):
     assert got == [(i * 100, 25, 1600.0, 160.0, 4) for i in range(6)]
 
 
+def test_masks_broadcast_no_points_and_are_drawn_by_many_tasks(spark, grid):
+    out = points.region_masks(grid, grid, 60, 60, "band").persist()
+    assert "InMemoryTableScan" in planned(out) and out.count() == 6
+    assert len({r["task"] for r in out.select(F.spark_partition_id().alias("task")).collect()}) > 1
+    for r in out.collect():
+        mask = np.frombuffer(r["mask"], np.uint8).reshape(60, 60)
+        assert r["centres"] == 26 and mask[:41, :41].min() == 255 and (mask > 0).sum() == 41 * 41
+    out.unpersist()
+
+
+def test_regions_with_different_numbers_of_corners_are_one_mask(spark):
+    at = [(10.0 * (k % 3), 10.0 * (k // 3)) for k in range(9)] + [(100.0 + 10 * i, 10.0 * j) for j in range(3) for i in range(3 - j)]
+    pts = spark.createDataFrame([(1, k, x, y) for k, (x, y) in enumerate(at)], "image_id long, pid long, x double, y double")
+    mask = np.frombuffer(points.region_masks(pts, pts, 130, 30, "band").first()["mask"], np.uint8).reshape(30, 130)
+    assert mask[:21, :21].min() == 255 and (mask > 0).sum() == 21 * 21 + 21 * 22 // 2
+
+
 def test_empty_images_stay(spark):
     images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
     rows = [(1, i, 10.0 + 10 * (i % 3), 10.0 + 10 * (i // 3)) for i in range(9)] + [(2, 0, 5.0, 5.0), (2, 1, 8.0, 8.0)]
