@@ -297,7 +297,8 @@ def registry() -> dict[str, Entry]:
     add("component_size_filter", lambda s, d: points.component_sizes(points.point_components(graph(s, d)[2])), cte("points", **GROUPS) + "select image_id, comp_id, count(*) as n_points from members group by 1, 2 having count(*) >= 4")
     area = cte("points", **GROUPS, corners=CORNERS, sides=SIDES, hulls=HULLS, big="select h.* from hulls h join spacings s on s.image_id = h.image_id where h.area >= greatest(12.0, s.spacing * s.spacing * 0.20)")
     add("hull_area", lambda s, d: points.polygon_area(hulls(s, d)).select("image_id", "comp_id", r6("shoelace").alias("area")), area + "select image_id, comp_id, area from big")
-    add("hull_perimeter", lambda s, d: points.polygon_perimeter(hulls(s, d)).select("image_id", "comp_id", r4("around").alias("perimeter")), area + "select image_id, comp_id, round(perimeter, 4) as perimeter from big")
+    # rounded twice, and by a product, as DuckDB does: the first rounding makes ties, which fall by that product
+    add("hull_perimeter", lambda s, d: points.polygon_perimeter(hulls(s, d)).select("image_id", "comp_id", (F.round(r6("around") * 1e4) / 1e4).alias("perimeter")), area + "select image_id, comp_id, round(perimeter, 4) as perimeter from big")
     add("hull_simplify", lambda s, d: hulls(s, d).select("image_id", "comp_id", F.size("hull").alias("n_hull"), F.size("simplified").alias("n_simplified")), None)
     add("region_masks", lambda s, d: points.region_masks(fx.points(s, d), fx.points(s, d), 2400, 400, "instances").select("image_id", "centres", F.sha2("mask", 256).alias("mask_sha256")), None)
 
