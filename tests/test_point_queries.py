@@ -18,7 +18,7 @@ def test_perimeters_are_rounded_as_in_sql(spark, tmp_path):
     assert got and got == {(i, c): p for i, c, p in con.execute(f"select image_id, comp_id, perimeter from ({sql})").fetchall()}
 
 
-@pytest.mark.parametrize("name", ["hull_perimeter", "annulus_edges", "component_size_filter", "hull_simplify", "point_components"])
+@pytest.mark.parametrize("name", ["hull_perimeter", "annulus_edges", "component_size_filter", "hull_simplify", "point_components", "spacing"])
 def test_points_do_not_pass_the_driver(spark, sf, name):
     """In the plan that ran, with those of the tables that it keeps."""
     out = ENTRIES[name][0](spark, sf)
